@@ -104,3 +104,21 @@ def mix_sources(
     rows = rows.withColumn("order_key", permutation_key(seed, F.col("epoch"), F.col("doc_id")))
     rows = rows.where((F.col("epoch") < F.col("passes")) | (F.col("order_key") <= F.col("last_key")))
     return rows.withColumn("block", F.substring("order_key", 1, block_digits)).drop("passes", "last_key")
+
+
+def oracle() -> str:
+    """DuckDB SQL for mix_sources with its defaults (no text): whole sources are sorted there."""
+    flat = "pow(mn / top, {}) * top / mn > 4.0"
+    half = flat.format("(lo + hi) / 2")
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM documents),
+t AS (SELECT source, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY source),
+x AS (SELECT max(tokens)::DOUBLE AS top, (min(tokens) FILTER (tokens > 0))::DOUBLE AS mn FROM t),
+b(k, lo, hi) AS (SELECT 0, 0::DOUBLE, 1::DOUBLE UNION ALL
+  SELECT k + 1, CASE WHEN {half} THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {half} THEN hi ELSE (lo + hi) / 2 END FROM b, x WHERE k < {STEPS}),
+e AS (SELECT top, CASE WHEN {flat.format(0)} THEN (SELECT hi FROM b WHERE k = {STEPS}) ELSE 0 END AS t FROM x),
+w AS (SELECT source, tokens, CASE WHEN tokens > 0 THEN round(pow(tokens / top, t - 1), 6) ELSE 1.0 END AS wanted FROM t, e),
+p AS (SELECT source, floor(wanted)::BIGINT AS passes, floor(round((wanted - floor(wanted)) * tokens, 3))::BIGINT AS rest FROM w),
+a AS (SELECT d.*, passes, rest, unnest(range(0, passes + 1)) AS epoch FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+k AS (SELECT *, md5('mix-' || epoch || '-' || doc_id) AS order_key FROM a),
+r AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY order_key) AS upto FROM k)
+SELECT doc_id, source, epoch, substr(order_key, 1, 3) AS block, order_key, n_tokens FROM r WHERE epoch < passes OR (rest > 0 AND upto <= rest)"""

@@ -24,19 +24,26 @@ from .common import stage
 
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: Rule name -> (SQL condition for a good vote, SQL condition for a bad vote); whole numbers only.
+#: Rule name -> (SQL condition for a good vote, SQL condition for a bad vote, which goes first); whole numbers only.
+#: A detector of junk says nothing of a text in which it finds none, else many silent detectors would outvote one;
+#: each kind of junk has two detectors, as EM finds a lone voice that nothing supports to be in error.
+PLAIN = "100 * n_symbols <= 2 * n_words AND 100 * n_capitals <= 15 * word_chars"
 RULES: dict[str, tuple[str, str]] = {
-    "length": ("n_words >= 20", "n_words < 5"),
-    "word_length": ("word_chars >= 2 * n_words AND word_chars <= 12 * n_words", "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
-    "symbols": ("100 * n_symbols <= 2 * n_words", "100 * n_symbols > 10 * n_words"),
-    "repeated_lines": ("n_dup_lines = 0 AND n_lines > 1", "10 * n_dup_lines > 3 * n_lines"),
-    "repeated_words": ("100 * n_repeat_words <= 5 * n_words AND n_words >= 3", "100 * n_repeat_words > 20 * n_words"),
-    "capitals": ("100 * n_capitals <= 15 * word_chars", "100 * n_capitals > 40 * word_chars"),
-    "sentences": ("n_stops > 0 AND n_words <= 60 * n_stops", "n_words > 200 * n_stops AND n_words >= 20"),
+    "length": ("FALSE", "n_words < 10"),
+    "word_length": ("FALSE", "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
+    "symbols": ("FALSE", "100 * n_symbols > 10 * n_words"),
+    "symbol_share": ("FALSE", "100 * n_symbols > 4 * word_chars"),
+    "repeated_lines": ("FALSE", "10 * n_dup_lines > 3 * n_lines"),
+    "repeated_words": ("FALSE", "100 * n_repeat_words > 20 * n_words"),
+    "capitals": ("FALSE", "100 * n_capitals > 40 * word_chars"),
+    "stops": ("FALSE", "100 * n_stops > 40 * n_words"),
+    "sentences": (f"n_words <= 40 * n_stops AND {PLAIN}", "n_words >= 50 AND n_words > 100 * n_stops"),
+    "variety": (f"n_words >= 20 AND 100 * n_repeat_words <= 5 * n_words AND n_dup_lines = 0 AND {PLAIN}", "100 * n_repeat_words > 40 * n_words"),
 }
-ROUNDS = 20
-START = 0.8
-LOWEST, HIGHEST = 0.55, 0.999
+ROUNDS = 25
+#: Where EM starts: share of good documents and accuracy of every rule; and bounds that fix what "good" means.
+START = (0.5, 0.8)
+ACCURACY_BOUNDS, SHARE_BOUNDS = (0.55, 0.99), (0.05, 0.95)
 
 
 def _with_repeats(df: DataFrame) -> DataFrame:
@@ -84,22 +91,23 @@ def votes() -> list[Column]:
     return [F.expr(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END").alias(name) for name, (good, bad) in RULES.items()]
 
 
+def _within(x: float, bounds: tuple[float, float]) -> float:
+    return min(bounds[1], max(bounds[0], x))
+
+
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[float]]:
-    """(share of good documents, accuracy of each rule) by EM over (votes, count) patterns.
+    """(share of good documents, accuracy of each rule) by EM over (votes, count).
 
-    A rule that votes is right with its accuracy whatever the truth; accuracies stay within
-    [LOWEST, HIGHEST], which fixes what "good" means.
+    An accuracy is the chance that a vote that is cast is right; abstaining says nothing.
     """
-    n = len(patterns[0][0]) if patterns else len(RULES)
-    share, accuracy = 0.5, [START] * n
+    share, accuracy = START[0], [START[1]] * len(RULES)
     total = sum(c for _, c in patterns)
     for _ in range(rounds if total else 0):
-        posts = [posterior(v, share, accuracy) for v, _ in patterns]
-        for j in range(n):
-            cast = sum(c for v, c in patterns if v[j])
-            right = sum(c * (p if v[j] > 0 else 1 - p) for (v, c), p in zip(patterns, posts, strict=True) if v[j])
-            accuracy[j] = min(HIGHEST, max(LOWEST, right / cast)) if cast else START
-        share = min(0.99, max(0.01, sum(c * p for (_, c), p in zip(patterns, posts, strict=True)) / total))
+        weighed = [(v, c, c * posterior(v, share, accuracy)) for v, c in patterns]
+        for j in range(len(RULES)):
+            right = sum(p if v[j] > 0 else c - p for v, c, p in weighed if v[j])
+            accuracy[j] = _within((START[1] + right) / (1 + sum(c for v, c, _ in weighed if v[j])), ACCURACY_BOUNDS)
+        share = _within(sum(p for _, _, p in weighed) / total, SHARE_BOUNDS)
     return share, accuracy
 
 
@@ -145,14 +153,13 @@ m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''
   FROM w LEFT JOIN rep USING (doc_id))""",
         f"v AS (SELECT *, {vote} FROM m)",
         f"pat AS MATERIALIZED (SELECT {', '.join(names)}, count(*)::DOUBLE AS c FROM v GROUP BY ALL)",
-        "e0 AS (SELECT 0.5::DOUBLE AS share, " + ", ".join(f"{START}::DOUBLE AS a_{x}" for x in names) + ")",
+        f"e0 AS (SELECT {START[0]}::DOUBLE AS share, " + ", ".join(f"{START[1]}::DOUBLE AS a_{x}" for x in names) + ")",
     ]
     odds = "ln(share / (1 - share))" + "".join(f" + {x} * ln(a_{x} / (1 - a_{x}))" for x in names)
+    within = lambda x, bounds: f"least({bounds[1]}, greatest({bounds[0]}, {x}))"
     for k in range(1, ROUNDS + 1):
-        right = ", ".join(
-            f"CASE WHEN sum(c * abs({x})) > 0 THEN least({HIGHEST}, greatest({LOWEST}, sum(CASE WHEN {x} > 0 THEN c * p WHEN {x} < 0 THEN c * (1 - p) ELSE 0 END) / sum(c * abs({x})))) ELSE {START} END AS a_{x}"
-            for x in names
-        )
-        parts.append(f"e{k} AS MATERIALIZED (SELECT least(0.99, greatest(0.01, sum(c * p) / sum(c))) AS share, {right} FROM (SELECT pat.*, 1 / (1 + exp(-({odds}))) AS p FROM pat, e{k - 1}))")
+        right = lambda x: f"({START[1]} + sum(CASE WHEN {x} > 0 THEN p WHEN {x} < 0 THEN c - p ELSE 0 END)) / (1 + sum(c * abs({x})))"
+        fitted = ", ".join(f"{within(right(x), ACCURACY_BOUNDS)} AS a_{x}" for x in names)
+        parts.append(f"e{k} AS MATERIALIZED (SELECT {within('sum(p) / sum(c)', SHARE_BOUNDS)} AS share, {fitted} FROM (SELECT pat.*, c / (1 + exp(-({odds}))) AS p FROM pat, e{k - 1}))")
     parts.append(f"s AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, round(1 / (1 + exp(-({odds}))), 6) AS posterior FROM v, e{ROUNDS})")
     return "WITH " + ",\n".join(parts) + "\nSELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND posterior >= 0.5 AS kept, posterior FROM s"

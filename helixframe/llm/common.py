@@ -1,46 +1,14 @@
-"""What the operators share: staged tables, sessions' shared folder, connected components."""
+"""What the operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-#: Whitespace of the contracts, as a Java/RE2/Python character class.
-WS = r"[\x20\x09-\x0D]"
-
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of our own only where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="helixframe-")
-    return _own_dirs[app]
-
+from ..operators.components import connected_components
+from ..plans.staging import drop_staged, shared_dir, stage, staged_path
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and return a DataFrame that reads it.
-
-    Cuts lineage so that a lost executor costs a re-read, not a recomputation, and lets two
-    consumers share one computation.  Used for narrow tables only (ids, hashes, counts).
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_staged(spark: SparkSession) -> None:
-    """Delete everything this application has staged; results that still read it stop working."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["arrow_rows", "bucket", "connected_components", "drop_staged", "shared_dir", "stage", "staged_path"]
 
 
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
@@ -52,26 +20,3 @@ def bucket(col: str = "doc_id", n: int = 5):
     """crc32 of the id as text, modulo n: the folds of the contracts."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
 
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of edges(src, dst): component is the smallest node it reaches.
-
-    Each round takes the smallest label among the neighbours (pre-aggregated before the shuffle) and
-    then the label of that label, so long chains halve.  Labels live in staged tables; only the number
-    of changed labels reaches the driver.  A label that holds many nodes is hot on one side of the
-    second join alone, which adaptive execution splits.
-    """
-    both = stage(
-        edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src != dst").distinct(),
-        "cc-edges",
-    )
-    labels = stage(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("component")), "cc-labels")
-    for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("m"))
-        hop = stage(labels.join(near, "node").select("node", F.col("component").alias("before"), F.least("component", "m").alias("via")), "cc-hop")
-        jump = hop.select(F.col("node").alias("via"), F.col("via").alias("component"))
-        labels = stage(hop.join(jump, "via").select("node", "before", F.least("component", "via").alias("component")), "cc-labels")
-        if labels.where("component != before").isEmpty():
-            return labels.select("node", "component")
-        labels = labels.select("node", "component")
-    raise RuntimeError(f"components still change after {max_rounds} rounds")

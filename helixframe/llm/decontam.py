@@ -117,6 +117,8 @@ class ItemIndex:
         found: set[int] = set()
         known = flat != 0
         for k in self.sizes:
+            if len(known) < k:
+                continue
             run = known[: len(known) - k + 1].copy()
             for j in range(1, k):
                 run &= known[j : len(known) - k + 1 + j]

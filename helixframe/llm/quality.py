@@ -10,8 +10,8 @@ Fitting uses a bounded sample: of the labelled rows allowed for learning whose t
 ``max_doc_bytes`` bytes, the ``per_class`` smallest by a hash of doc_id in each class.  Scoring reads
 every whole text.
 
-Edge cases: null and empty text get the calibrated score of difference zero and share one; a label table without
-both classes raises ValueError; rows with equal doc_id are scored each on its own text; other columns
+Edge cases: null and empty text get the calibrated score of difference zero and share one; labels with under two usable
+rows of a class teach nothing, every score is then 0.5; rows with equal doc_id are scored each on its own text; other columns
 pass through.
 """
 
@@ -32,16 +32,20 @@ from .common import arrow_rows, bucket
 
 BLOCK = 2048
 LEVEL = 3
+#: Fixed by zstandard: how a trained dictionary begins.
+MAGIC = b"\x37\xa4\x30\xec"
 
 
 @dataclass(frozen=True)
 class QualityModel:
     good: bytes
     bad: bytes
-    weights: tuple[float, ...]  # of the difference, of the compressed share, offset
+    weights: tuple[float, ...]  # of the difference, of the compressed share, offset; empty: nothing learned
 
     def scorer(self):
         """text -> probability that the label is 1."""
+        if not self.weights:
+            return lambda text: 0.5
         good, bad = (zstandard.ZstdCompressor(dict_data=_dictionary(d), write_content_size=False, write_dict_id=False) for d in (self.good, self.bad))
 
         def score(text: str | None) -> float:
@@ -51,7 +55,8 @@ class QualityModel:
 
 
 def _dictionary(d: bytes) -> zstandard.ZstdCompressionDict:
-    out = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_FULLDICT)
+    trained = d[:4] == MAGIC
+    out = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_FULLDICT if trained else zstandard.DICT_TYPE_RAWCONTENT)
     out.precompute_compress(level=LEVEL)
     return out
 
@@ -75,8 +80,8 @@ def _train(texts: list[str], size: int) -> bytes:
     blocks = [d[at : at + BLOCK] for d in (t.encode("utf-8", "surrogatepass") for t in texts) for at in range(0, len(d), BLOCK)]
     try:
         return zstandard.train_dictionary(min(size, max(256, sum(map(len, blocks)) // 4)), blocks, level=LEVEL).as_bytes()
-    except zstandard.ZstdError as error:
-        raise ValueError(f"too little labelled text for a dictionary: {error}") from error
+    except zstandard.ZstdError:  # too little text to choose from: all of it
+        return b"".join(blocks)[-size:]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 0.1) -> tuple[float, ...]:
@@ -110,9 +115,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_d
     )  # fmt: skip  at most 2 * per_class rows
     rows.sort(key=lambda r: r.n)
     of = {q: [r.text for r in rows if r.quality == q] for q in (0, 1)}
-    if min(map(len, of.values())) < 8:
-        raise ValueError("labels hold too few rows of a class to learn from")
-    parts = {q: (t[: len(t) * 2 // 3], t[len(t) * 2 // 3 :]) for q, t in of.items()}
+    if min(map(len, of.values())) < 2:
+        return QualityModel(b"", b"", ())
+    parts = {q: (t[: len(t) * 2 // 3 or 1], t[len(t) * 2 // 3 or 1 :]) for q, t in of.items()}
     good, bad = _train(parts[1][0], dictionary_bytes), _train(parts[0][0], dictionary_bytes)
     compress = [zstandard.ZstdCompressor(dict_data=_dictionary(d), write_content_size=False, write_dict_id=False) for d in (good, bad)]
     held = [(*_measures(t, *compress), q) for q in (0, 1) for t in parts[q][1]]

@@ -97,15 +97,15 @@ def runs_of(data: bytes, starts: np.ndarray, ends: np.ndarray, length: int, roll
     return grams[digit[new]], suffix[new], last
 
 
-def _pieces(texts: list[bytes | None], length: int):
-    """Lists of (row, offset, bytes) of about SLICE bytes together; a longer text comes in slices that overlap."""
+def _pieces(texts: list[bytes | None], length: int, most: int):
+    """Lists of (row, offset, bytes) of about most bytes together; a longer text comes in slices that overlap."""
     held, size = [], 0
     for row, text in enumerate(texts):
         if text is None or len(text) < length:
             continue
-        for at in range(0, len(text) - length + 1, SLICE):
-            piece = text[at : at + SLICE + length - 1]
-            if size + len(piece) > SLICE + length and held:
+        for at in range(0, len(text) - length + 1, most):
+            piece = text[at : at + most + length - 1]
+            if size + len(piece) > most + length and held:
                 yield held
                 held, size = [], 0
             held.append((row, at, piece))
@@ -114,15 +114,15 @@ def _pieces(texts: list[bytes | None], length: int):
         yield held
 
 
-def suffix_runs(docs: DataFrame, length: int) -> DataFrame:
+def suffix_runs(docs: DataFrame, length: int, slice_bytes: int = SLICE) -> DataFrame:
     """docs(doc_id, th, data) -> (h, c, doc_id, th, start, size): the runs; size counts the bytes covered."""
 
     def run(batches):
-        roller = Roller(2 * SLICE + 2 * length)
+        roller = Roller(2 * slice_bytes + 2 * length)
         for b in batches:
             ids, marks = b.column("doc_id"), b.column("th")
             out: dict[str, list] = {x: [] for x in ("h", "c", "row", "start", "size")}
-            for pieces in _pieces(b.column("data").to_pylist(), length):
+            for pieces in _pieces(b.column("data").to_pylist(), length, slice_bytes):
                 data = b"".join(p for _, _, p in pieces)
                 ends = np.cumsum([len(p) for _, _, p in pieces])
                 starts = ends - [len(p) for _, _, p in pieces]
@@ -256,9 +256,9 @@ def _by_rows(segments: DataFrame, length: int) -> DataFrame:
     return found.select("doc_id", "th", (F.col("start") + F.col("place")).alias("start"), (F.col("start") + F.col("place") + length).alias("stop"))
 
 
-def repeated_intervals(docs: DataFrame, length: int, max_classes: int) -> DataFrame:
+def repeated_intervals(docs: DataFrame, length: int, max_classes: int, slice_bytes: int = SLICE) -> DataFrame:
     """docs(doc_id, th, data) -> (doc_id, th, start, stop) whose union is all that repeated windows cover."""
-    runs = stage(suffix_runs(docs, length), "suffix-runs")
+    runs = stage(suffix_runs(docs, length, slice_bytes), "suffix-runs")
     first = runs.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("n > 1")
     again = stage(runs.join(first.select("h", (F.col("low") != F.col("high")).alias("mixed")), "h"), "suffix-again")
     mixed = again.where("mixed")
@@ -277,16 +277,18 @@ def repeated_intervals(docs: DataFrame, length: int, max_classes: int) -> DataFr
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, max_classes: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, max_classes: int = 20_000, slice_bytes: int = SLICE) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): see the module's docstring.
 
     kept (binary) is what is left of the text; a cut may fall inside a character.
     """
     if length < 2:
         raise ValueError("length must be 2 at least")
+    if slice_bytes > SLICE:
+        raise ValueError(f"slices of over {SLICE} bytes don't fit the place in a digit")
     arrow_rows(docs.sparkSession, 500)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("data")).withColumn("th", F.xxhash64("data"))
-    found = repeated_intervals(rows, length, max_classes)
+    found = repeated_intervals(rows, length, max_classes, slice_bytes)
     listed = found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("away"))
     listed = listed.select(F.col("doc_id").alias("of"), F.col("th").alias("mark"), "away")
 

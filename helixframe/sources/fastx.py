@@ -97,7 +97,7 @@ def wrapped(seq: Column | str, width: int = 80) -> Column:
 
 def contig_text(contigs: DataFrame) -> DataFrame:
     """Contigs as one column of FASTA records."""
-    title = F.concat(F.lit("CONTIG_"), "group_id", F.when(F.col("has_palindrome"), " palindromic").otherwise(""), F.when(F.col("cyclic"), " cyclic").otherwise(""), F.lit(" length:"), F.col("length").cast("string"), F.lit(" average coverage:"), F.format_number("average_coverage", "0.00"))
+    title = F.concat(F.lit("CONTIG_"), "group_id", F.when(F.col("has_palindrome"), " palindromic").otherwise(""), F.when(F.col("cyclic"), " cyclic").otherwise(""), F.lit(" length:"), F.col("length").cast("string"), F.lit(" average coverage:"), F.format_string("%.2f", "average_coverage"))
     return contigs.select(fasta_text(title, wrapped("seq")).alias("value"))
 
 

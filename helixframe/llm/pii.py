@@ -18,6 +18,7 @@ and are marked each; an empty table gives an empty result; other columns are ign
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections import Counter
@@ -99,7 +100,7 @@ def term_hash(term: str) -> int:
 def near_terms(text: str, spans: list[tuple[str, int, int]], window: int) -> dict[int, set[str]]:
     """Entity -> lower-cased terms within window words of one of its mentions, outside all spans."""
     words = [(m.start(), m.end()) for m in WORD.finditer(text)]
-    covered = [(s, e) for _, s, e in spans]
+    covered = _union(spans)
     out: dict[int, set[str]] = {}
     first = 0
     for kind, s, e in spans:
@@ -114,18 +115,26 @@ def near_terms(text: str, spans: list[tuple[str, int, int]], window: int) -> dic
             continue
         left, right = words[lo][0], words[hi - 1][1]
         for m in TERM.finditer(text, left, right):
-            if not any(a < m.end() and m.start() < b for a, b in _touching(covered, m.start(), m.end())):
+            if not _touches(covered, m.start(), m.end()):
                 terms.add(m[0].lower())
     return out
 
 
-def _touching(covered: list[tuple[int, int]], start: int, end: int):
-    """Those of covered (by start) that can meet [start, end)."""
-    lo, hi = 0, len(covered)
-    while lo < hi:
-        mid = (lo + hi) // 2
-        lo, hi = (mid + 1, hi) if covered[mid][0] < end else (lo, mid)
-    return covered[max(0, lo - 8) : lo]
+def _union(spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """The places that spans (by start) cover, as disjoint intervals."""
+    out: list[tuple[int, int]] = []
+    for _, s, e in spans:
+        if out and s <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], e)
+        else:
+            out.append((s, e))
+    return out
+
+
+def _touches(covered: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether [start, end) meets one of the disjoint intervals."""
+    i = bisect.bisect_left(covered, (end,)) - 1
+    return i >= 0 and covered[i][1] > start
 
 
 def _mentions(docs: DataFrame, window: int) -> DataFrame:
@@ -229,10 +238,10 @@ def all_spans(text: str | None, terms: dict[str, float], remove: float) -> list[
     base = base_spans(text)
     out = [(k, s, e, "generalise") for k, s, e in base]
     if terms and text:
-        covered = [(s, e) for _, s, e in base]
+        covered = _union(base)
         for m in TERM.finditer(text):
             share = terms.get(m[0].lower())
-            if share is not None and not any(a < m.end() and m.start() < b for a, b in _touching(covered, m.start(), m.end())):
+            if share is not None and not _touches(covered, m.start(), m.end()):
                 out.append(("term", m.start(), m.end(), "remove" if share >= remove else "generalise"))
     order = {k: i for i, k in enumerate((*KINDS, "term"))}
     return sorted(out, key=lambda x: (x[1], order[x[0]], x[2]))

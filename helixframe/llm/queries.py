@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import read_table
 from . import chat, decontam, langid, lines, mixing, pii, quality, rules, simhash, suffixes
 from .common import bucket
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -317,7 +317,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ch
     rows = nodes.select("fp", "node", F.posexplode("mins").alias("t", "key"))
     coarse = connected_components(block_edges(rows, 20))
     wanted = coarse.join(nodes.select("node", "fp"), "node")
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").dropDuplicates(["node", "text"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")  # a repeated row meets itself only, which is no link
     members = shingle_sets(wanted.join(texts, "node"), words)
     names = ["component", "ci", "cj"]
     spread = _in_chunks(members, ["component"], "node", chunk)

@@ -443,6 +443,16 @@ def test_op10_base_spans_match_the_patterns():
         assert pii.base_spans(t) == brute_spans(t)
 
 
+def test_op10_terms_inside_spans():
+    r = random.Random(12)
+    for _ in range(300):
+        spans = sorted((r.randrange(40), r.randrange(1, 9)) for _ in range(r.randrange(12)))
+        covered = pii._union([("ip", s, s + n) for s, n in spans])
+        a = r.randrange(45)
+        b = a + r.randrange(1, 6)
+        assert pii._touches(covered, a, b) == any(s < b and a < s + n for s, n in spans)
+
+
 def test_op10_terms(spark):
     r = random.Random(11)
     secret, texts = "jane@corp.example", []

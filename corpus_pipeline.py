@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm import decontam, lines, mixing, quality, simhash
 from helixframe.llm.common import shared_dir
+from helixframe.sources.tables import read_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -61,7 +62,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what is between stages lies in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}/pipeline-{uuid.uuid4().hex}"
     for i, (_, function) in enumerate(STAGES):
         docs = function(spark, docs, sf_dir)

@@ -21,13 +21,30 @@ def check_range(min_k: int, max_k: int) -> None:
         raise ValueError(f"need 1 <= min_k <= max_k <= {MAX_K}")
 
 
+def pieces(reads: DataFrame, overlap: int, size: int = 64) -> DataFrame:
+    """(read_id, offset, own, piece): reads in pieces of ``own`` bases that also hold the next ``overlap`` ones.
+
+    A window then costs a short copy and a short scan, whatever the length of its read.
+    """
+    size = max(size, overlap)
+    cut = reads.select("read_id", F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("c"))
+    parts = F.transform("c", lambda x, i: F.struct((i * size).alias("offset"), F.length(x).alias("own"), F.concat(x, F.left(F.coalesce(F.get("c", i + 1), F.lit("")), F.lit(overlap))).alias("piece")))
+    return cut.select("read_id", F.explode(parts).alias("p")).select("read_id", "p.offset", "p.own", "p.piece")
+
+
 def windows(reads: DataFrame, ks: list[int]) -> DataFrame:
-    """(read_id, k, pos, kmer): canonical k-mer at each 0-based position; the read is reverse-complemented once."""
-    n = F.length("seq")
-    rows = reads.select("read_id", "seq", S.revcomp("seq").alias("rc"), n.alias("n")).withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where("k <= n")
-    rows = rows.withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("k"))))
-    ahead, back = F.substring(F.col("seq"), F.col("pos") + 1, F.col("k")), F.substring(F.col("rc"), F.col("n") - F.col("pos") - F.col("k") + 1, F.col("k"))
-    return rows.select("read_id", "k", "pos", F.least(ahead, back).alias("kmer"))
+    """(read_id, k, pos, kmer): canonical k-mer at each 0-based position; a piece is reverse-complemented once."""
+    rows = pieces(reads, max(ks) - 1).select("*", S.revcomp("piece").alias("rc"), F.length("piece").alias("n")).withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where("k <= n")
+    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.least(F.col("own") - 1, F.col("n") - F.col("k")))))
+    ahead, back = F.substring(F.col("piece"), F.col("at") + 1, F.col("k")), F.substring(F.col("rc"), F.col("n") - F.col("at") - F.col("k") + 1, F.col("k"))
+    return rows.select("read_id", "k", (F.col("offset") + F.col("at")).alias("pos"), F.least(ahead, back).alias("kmer"))
+
+
+def longest_windows(reads: DataFrame, min_k: int, max_k: int) -> DataFrame:
+    """(w): what stands at each position, max_k bases or up to the end of the read, min_k at least."""
+    parts = pieces(reads.select(F.lit(0).alias("read_id"), "seq"), max_k - 1).where(F.length("piece") >= min_k)
+    at = F.explode(F.sequence(F.lit(1), F.least(F.col("own"), F.length("piece") - (min_k - 1))))
+    return parts.select("piece", at.alias("at")).select(F.substring(F.col("piece"), F.col("at"), F.lit(max_k)).alias("w"))
 
 
 def count_kmers(reads: DataFrame, min_k: int = 2, max_k: int = 12, preaggregate: bool | None = None) -> DataFrame:
@@ -41,8 +58,7 @@ def count_kmers(reads: DataFrame, min_k: int = 2, max_k: int = 12, preaggregate:
     check_range(min_k, max_k)
     if preaggregate is None:
         preaggregate = max_k <= PREAGGREGATE_UP_TO
-    usable = reads.select("seq", F.length("seq").alias("n")).where(F.col("n") >= min_k)
-    longest = usable.select("seq", F.explode(F.sequence(F.lit(1), F.col("n") - (min_k - 1))).alias("pos")).select(F.substring(F.col("seq"), F.col("pos"), F.lit(max_k)).alias("w"))
+    longest = longest_windows(reads, min_k, max_k)
     counted = longest.groupBy("w").agg(F.count(F.lit(1)).alias("c")) if preaggregate else longest.withColumn("c", F.lit(1).cast("long"))
     both = counted.select("w", S.revcomp("w").alias("rc"), F.length("w").alias("n"), "c").withColumn("k", F.explode(F.sequence(F.lit(min_k), F.col("n"))))
     kmer = F.least(F.left("w", F.col("k")), F.right("rc", F.col("k")))

@@ -38,8 +38,9 @@ def canon(x: str) -> str:
 
 
 def counts_sql(low: int, high: int, source: str = DOCS) -> str:
-    return f"""{source}, win AS (SELECT k, unnest(list_transform(range(1, length(seq) - k + 2), lambda p: substr(seq, p, k))) AS w
-FROM reads, (SELECT unnest(range({low}, {high + 1})) AS k) WHERE length(seq) >= k),
+    return f"""{source}, pie AS (SELECT substr(seq, c * 256 + 1, {255 + high}) AS piece, least(256, length(seq) - c * 256) AS own FROM (SELECT seq, unnest(range(0, (length(seq) + 255) // 256)) AS c FROM reads)),
+win AS (SELECT k, unnest(list_transform(range(1, least(own, length(piece) - k + 1) + 1), lambda p: substr(piece, p, k))) AS w
+FROM pie, (SELECT unnest(range({low}, {high + 1})) AS k) WHERE length(piece) >= k),
 cnt AS MATERIALIZED (SELECT k::BIGINT AS k, {canon('w')} AS kmer, sum(n)::BIGINT AS coverage FROM (SELECT k, w, count(*) AS n FROM win GROUP BY ALL) GROUP BY ALL)"""
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import seq as S
+from ..operators.kmers import windows
 
 
 def read_stream(spark: SparkSession, path: str, schema: str = "read_id long, seq string", files_per_trigger: int = 8) -> DataFrame:
@@ -14,7 +14,5 @@ def read_stream(spark: SparkSession, path: str, schema: str = "read_id long, seq
 
 def count_stream(reads: DataFrame, min_k: int, max_k: int) -> DataFrame:
     """(k, kmer, coverage) of a stream of reads(seq); the state is one row for each k-mer (update or complete mode)."""
-    rows = reads.select("seq", S.revcomp("seq").alias("rc"), F.length("seq").alias("n")).withColumn("k", F.explode(F.sequence(F.lit(min_k), F.lit(max_k)))).where("k <= n")
-    rows = rows.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("k"))))
-    ahead, back = F.substring(F.col("seq"), F.col("p") + 1, F.col("k")), F.substring(F.col("rc"), F.col("n") - F.col("p") - F.col("k") + 1, F.col("k"))
-    return rows.groupBy(F.col("k").cast("long").alias("k"), F.least(ahead, back).alias("kmer")).agg(F.count(F.lit(1)).alias("coverage"))
+    found = windows(reads.select(F.lit(0).alias("read_id"), "seq"), list(range(min_k, max_k + 1)))
+    return found.groupBy(F.col("k").cast("long").alias("k"), "kmer").agg(F.count(F.lit(1)).alias("coverage"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as X
 from .functions import seq as S
-from .operators import cluster, kmers, links, maintain, reads, stats
+from .operators import cluster, kmers, links, maintain, reads, seeds, stats
 from .plans.staging import stage, staged_path
 from .sources import fastx, graphs
 from .streaming import counts as streams
@@ -448,6 +448,36 @@ def reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.reach(cluster.adjacency(nodes, 9).where("strength <= 0.05"), start)
 
 
+@query(f"""WITH {nodes_sql(4, 8, REFS)}, {PARENTS}, sur AS (SELECT * FROM nod WHERE NOT EXISTS (SELECT 1 FROM par WHERE par.k = nod.k + 1 AND parent = nod.kmer)),
+bins AS (SELECT k, (length(bin(coverage)) - 1)::BIGINT AS bin, count(*) AS n FROM cnt GROUP BY ALL),
+hook AS (SELECT k, coalesce((SELECT bin FROM bins b WHERE b.k = a.k AND bin >= 1 ORDER BY (length(bin(n)) - 1) * bin DESC, bin LIMIT 1), 0) AS hook FROM (SELECT DISTINCT k FROM bins) a)
+SELECT sur.k, kmer, coverage, abs(length(bin(coverage)) - 1 - hook)::BIGINT AS off FROM sur JOIN hook ON hook.k = sur.k ORDER BY off, sur.k DESC, kmer LIMIT 20""")
+def surface_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seeds.surface_seeds(ref_nodes(spark, sf_dir, 4, 8), 20).select("k", "kmer", "coverage", "off")
+
+
+@query()
+def unambiguous_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seeds.unambiguous_seeds(ref_nodes(spark, sf_dir, 4, 8), 0.0025, 20).select("k", "kmer", "coverage")
+
+
+@query()
+def next_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = ref_nodes(spark, sf_dir, 4, 8)
+    return seeds.next_seeds(nodes, nodes.where("k = 8 AND coverage > 1"), 20).select("k", "kmer", "coverage")
+
+
+@query()
+def steady_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = ref_nodes(spark, sf_dir, 16, 16)
+    return seeds.steady_contigs(nodes, nodes.orderBy("kmer").limit(50).select(F.col("kmer").alias("seq")), 0.3)
+
+
+@query()
+def greedy_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seeds.assemble_all(ref_nodes(spark, sf_dir, 12, 14), 12)
+
+
 # ---- sinks, sources, streaming
 
 

@@ -18,57 +18,79 @@ def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def _lines(spark: SparkSession, path: str | list[str], separator: str) -> DataFrame:
+    """(file, value, block, id): what a separator ends, with its split and a number that rises within it."""
+    text = spark.read.option("lineSep", separator).text(path)
+    return text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """(file, value, line): numbered from 0 within the file.
+
+    Splits are few, so where each begins comes from a window over counts of splits, not over lines.
+    """
+    counts = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    offsets = counts.select("file", "block", "first", (F.sum("n").over(W.partitionBy("file").orderBy("block")) - F.col("n")).alias("before"))
+    return lines.join(offsets, ["file", "block"]).select("file", "value", (F.col("before") + F.col("id") - F.col("first")).alias("line"))
+
+
 def fasta_records(text: DataFrame) -> DataFrame:
-    """Rows (value) of records without their leading '>' -> (name, seq).
+    """Rows (value, ...) of records without their leading '>' -> (..., name, seq).
 
     The body ends at a line whose first character is outside 'A' to 'z'; blank lines are skipped.
     """
+    rest = [c for c in text.columns if c != "value"]
     lines = F.transform(F.split("value", "\n"), _strip)
-    rows = text.select(F.substring(F.element_at(lines, 1), 1, HEADER_CHARS).alias("name"), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))).alias("body"))
+    rows = text.select(*rest, F.substring(F.element_at(lines, 1), 1, HEADER_CHARS).alias("name"), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))).alias("body"))
     bad = F.array_position(F.transform("body", lambda x: (x != "") & ~x.rlike("^[A-z]")), F.lit(True))
-    return rows.select("name", F.array_join(F.when(bad > 0, F.slice("body", 1, (bad - 1).cast("int"))).otherwise(F.col("body")), "").alias("seq"))
+    return rows.select(*rest, "name", F.array_join(F.when(bad > 0, F.slice("body", 1, (bad - 1).cast("int"))).otherwise(F.col("body")), "").alias("seq"))
+
+
+def _fasta_text(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("value", F.regexp_replace("value", r"^\s*>", "")).where(F.length(_strip(F.col("value"))) > 0)
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(name, seq) of FASTA files, bodies of any number of lines."""
-    text = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^\s*>", "").alias("value"))
-    return fasta_records(text.where(F.length(_strip(F.col("value"))) > 0))
+    return fasta_records(_fasta_text(_lines(spark, path, "\n>")).select("value"))
 
 
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """S3: (name, seq, qual) of FASTQ files of four lines a record.
-
-    Lines get a number within their split; splits are few, so their first lines' numbers come from a
-    window over counts of splits, not over lines.
-    """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    counts = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    offsets = counts.select("file", "block", "first", (F.sum("n").over(W.partitionBy("file").orderBy("block")) - F.col("n")).alias("before"))
-    numbered = lines.join(offsets, ["file", "block"]).select("file", "value", (F.col("before") + F.col("id") - F.col("first")).alias("line"))
+    """S3: (file, record, name, seq, qual) of FASTQ files of four lines a record."""
     record = F.col("line") % 4
+    numbered = _numbered(_lines(spark, path, "\n"))
     rows = numbered.groupBy("file", F.floor(F.col("line") / 4).alias("record")).agg(*(F.max(F.when(record == i, F.regexp_replace("value", r"\s+$", ""))).alias(x) for i, x in enumerate(("name", "seq", "plus", "qual"))))
     return rows.where(F.col("name").startswith("@") & F.col("seq").isNotNull()).select("file", "record", F.substring(F.expr("substring(name, 2)"), 1, HEADER_CHARS).alias("name"), "seq", F.coalesce("qual", F.lit("")).alias("qual"))
 
 
-def read_fastx(spark: SparkSession, path: str, columns: tuple[str, ...] = ("name", "seq", "qual")) -> DataFrame:
+def _kind(spark: SparkSession, path: str | list[str]) -> str:
+    """The first character of the data, '>' for none; ValueError if it is neither '>' nor '@'."""
+    head = spark.read.text(path).where(F.length(_strip(F.col("value"))) > 0).limit(1).collect()
+    kind = head[0].value.strip()[:1] if head else ">"
+    if kind not in (">", "@"):
+        raise ValueError(f"{path} begins with {kind!r}, which is neither FASTA nor FASTQ")
+    return kind
+
+
+def read_fastx(spark: SparkSession, path: str | list[str], columns: tuple[str, ...] = ("name", "seq", "qual")) -> DataFrame:
     """By the first character of the data, '>' or '@'; columns not asked for are not parsed.
 
     Raises ValueError on anything else; an empty file gives no rows.
     """
-    head = spark.read.text(path).where(F.length(_strip(F.col("value"))) > 0).limit(1).collect()
-    kind = head[0].value.strip()[:1] if head else ">"
-    if kind == ">":
-        reads = read_fasta(spark, path).withColumn("qual", F.lit(None).cast("string"))
-    elif kind == "@":
-        reads = read_fastq(spark, path)
-    else:
-        raise ValueError(f"{path} begins with {kind!r}, which is neither FASTA nor FASTQ")
+    reads = read_fasta(spark, path).withColumn("qual", F.lit(None).cast("string")) if _kind(spark, path) == ">" else read_fastq(spark, path)
     return reads.select(*columns)
 
 
+def numbered_reads(spark: SparkSession, path: str) -> DataFrame:
+    """(record, seq) of one FASTA or FASTQ file, records numbered from 0."""
+    if _kind(spark, path) == "@":
+        return read_fastq(spark, path).select("record", "seq")
+    return fasta_records(_numbered(_fasta_text(_lines(spark, path, "\n>"))).select("value", F.col("line").alias("record"))).select("record", "seq")
+
+
 def read_pairs(spark: SparkSession, first: str, second: str) -> DataFrame:
-    """FASTQ files of mates by place: (pair_id, s1, s2), the smaller mate first; ValueError if the second is shorter."""
-    a, b = (read_fastq(spark, p).select("record", "seq") for p in (first, second))
+    """Files of mates by place: (pair_id, s1, s2), the smaller mate first; ValueError if the second is shorter."""
+    a, b = (numbered_reads(spark, p) for p in (first, second))
     if b.count() < a.count():
         raise ValueError("the second file has fewer reads")
     pairs = a.join(b.withColumnRenamed("seq", "mate"), "record")

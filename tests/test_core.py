@@ -163,6 +163,13 @@ def test_fastx_files(spark, tmp_path):
     with pytest.raises(ValueError, match="fewer"):
         fastx.read_pairs(spark, str(tmp_path / "b.fq"), str(tmp_path / "short.fq"))
     assert fastx.read_pairs(spark, str(tmp_path / "short.fq"), str(tmp_path / "b.fq")).count() == 3
+    (tmp_path / "d.fa").write_text("".join(f">{i}\nACG\n{'ACGT'[i % 4]}\n" for i in range(40)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        pairs = {x.pair_id: x.s1 for x in fastx.read_pairs(spark, str(tmp_path / "d.fa"), str(tmp_path / "d.fa")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert pairs == {i: "ACG" + "ACGT"[i % 4] for i in range(40)}
 
 
 def test_wrapped(spark):

@@ -43,6 +43,7 @@ def parser() -> argparse.ArgumentParser:
     d = jobs.add_parser("rmdup")
     d.add_argument("-i", "--input", nargs=2, required=True)
     d.add_argument("-o", "--output", nargs=2, required=True)
+    d.add_argument("-Q", "--quality-offset", type=int, default=-1, help="join the qualities of duplicates")
     return top
 
 
@@ -95,7 +96,8 @@ def refcompare(spark: SparkSession, o: argparse.Namespace) -> None:
 
 
 def rmdup(spark: SparkSession, o: argparse.Namespace) -> None:
-    once = reads.unique_pairs(fastx.read_pairs(spark, *o.input))
+    pairs = fastx.read_pairs(spark, *o.input)
+    once = reads.unique_pairs_quality(pairs, o.quality_offset) if o.quality_offset > 0 else reads.unique_pairs(pairs)
     fastx.write_pairs(once.withColumnRenamed("pair_id", "name"), *o.output)
 
 

@@ -65,13 +65,29 @@ def unique_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(F.least("s1", "s2").alias("s1"), F.greatest("s1", "s2").alias("s2")).agg(F.min("pair_id").alias("pair_id"), F.count(F.lit(1)).alias("dupecount")).select("pair_id", "s1", "s2", "dupecount")
 
 
+def unique_pairs_quality(pairs: DataFrame, adjust: int = 33, cap: int = 126) -> DataFrame:
+    """D1 with D3: pairs(pair_id, s1, s2, q1, q2) once each, with the qualities of duplicates joined mate by mate."""
+    once = unique_pairs(pairs)
+    turned = F.col("s1") > F.col("s2")
+    straight = pairs.select("pair_id", F.least("s1", "s2").alias("s1"), F.greatest("s1", "s2").alias("s2"), F.when(turned, F.col("q2")).otherwise(F.col("q1")).alias("q1"), F.when(turned, F.col("q1")).otherwise(F.col("q2")).alias("q2"))
+    for s, q in (("s1", "q1"), ("s2", "q2")):
+        mates = straight.select(F.col("pair_id").alias("read_id"), F.col(s).alias("own"), F.concat_ws("/", "s1", "s2").alias("seq"), F.col(q).alias("qual")).where(F.length("own") == F.length(q))
+        added = _added_quality(mates, adjust, cap).select(F.col("seq").alias("both"), F.col("qual").alias(q))
+        once = once.join(added, F.concat_ws("/", "s1", "s2") == F.col("both"), "left").drop("both")
+    return once.withColumn("q1", F.coalesce("q1", F.lit(""))).withColumn("q2", F.coalesce("q2", F.lit("")))
+
+
 def joined_quality(reads: DataFrame, adjust: int = 33, cap: int = 126) -> DataFrame:
     """D3: reads(read_id, seq, qual) of equal seq and quality length as one, quality q1 + q2 - adjust, at most cap.
 
     Added position by position before the shuffle: as every step only adds a number of at least zero for
     qualities from adjust up, the capped sum does not depend on the order.
     """
-    points = reads.where(F.length("seq") == F.length("qual")).select("read_id", "seq", F.posexplode(F.split("qual", "")).alias("at", "c"))
+    return _added_quality(reads.where(F.length("seq") == F.length("qual")), adjust, cap)
+
+
+def _added_quality(reads: DataFrame, adjust: int, cap: int) -> DataFrame:
+    points = reads.select("read_id", "seq", F.posexplode(F.split("qual", "")).alias("at", "c"))
     added = points.groupBy("seq", "at").agg(F.sum(F.ascii("c") - adjust).alias("q"), F.min("read_id").alias("read_id"), F.count(F.lit(1)).alias("n"))
     whole = added.groupBy("seq").agg(
         F.min("read_id").alias("read_id"),

@@ -82,19 +82,20 @@ def read_fastx(spark: SparkSession, path: str | list[str], columns: tuple[str, .
 
 
 def numbered_reads(spark: SparkSession, path: str) -> DataFrame:
-    """(record, seq) of one FASTA or FASTQ file, records numbered from 0."""
+    """(record, seq, qual) of one FASTA or FASTQ file, records numbered from 0; qual is empty in FASTA."""
     if _kind(spark, path) == "@":
-        return read_fastq(spark, path).select("record", "seq")
-    return fasta_records(_numbered(_fasta_text(_lines(spark, path, "\n>"))).select("value", F.col("line").alias("record"))).select("record", "seq")
+        return read_fastq(spark, path).select("record", "seq", "qual")
+    return fasta_records(_numbered(_fasta_text(_lines(spark, path, "\n>"))).select("value", F.col("line").alias("record"))).select("record", "seq", F.lit("").alias("qual"))
 
 
 def read_pairs(spark: SparkSession, first: str, second: str) -> DataFrame:
-    """Files of mates by place: (pair_id, s1, s2), the smaller mate first; ValueError if the second is shorter."""
+    """Files of mates by place: (pair_id, s1, s2, q1, q2), the smaller mate first; ValueError if the second is shorter."""
     a, b = (numbered_reads(spark, p) for p in (first, second))
     if b.count() < a.count():
         raise ValueError("the second file has fewer reads")
-    pairs = a.join(b.withColumnRenamed("seq", "mate"), "record")
-    return pairs.select(F.col("record").alias("pair_id"), F.least("seq", "mate").alias("s1"), F.greatest("seq", "mate").alias("s2"))
+    both = a.join(b.select("record", F.struct("seq", "qual").alias("y")), "record").withColumn("x", F.struct("seq", "qual"))
+    pairs = both.select("record", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    return pairs.select(F.col("record").alias("pair_id"), F.col("x.seq").alias("s1"), F.col("y.seq").alias("s2"), F.col("x.qual").alias("q1"), F.col("y.qual").alias("q2"))
 
 
 def fasta_text(name: Column | str, seq: Column | str) -> Column:
@@ -129,10 +130,11 @@ def write_text(rows: DataFrame, path: str) -> None:
 
 
 def write_pairs(pairs: DataFrame, first: str, second: str) -> None:
-    """K5: pairs(name, s1, s2) as two FASTA folders in the order of name."""
-    ordered = pairs.orderBy("name")
-    for path, mate in ((first, "s1"), (second, "s2")):
-        write_text(ordered.select(fasta_text(F.col("name").cast("string"), F.col(mate)).alias("value")), path)
+    """K5: pairs(name, s1, s2[, q1, q2]) as two folders in the order of name, FASTQ where there is a quality."""
+    ordered = pairs.withColumn("name", F.col("name").cast("string")) if "q1" in pairs.columns else pairs.select(F.col("name").cast("string").alias("name"), "s1", "s2", F.lit("").alias("q1"), F.lit("").alias("q2"))
+    ordered = ordered.orderBy(F.col("name").cast("long"))
+    for path, i in ((first, 1), (second, 2)):
+        write_text(ordered.select(fastx_text("name", f"s{i}", f"q{i}").alias("value")), path)
 
 
 def write_routed(routed: DataFrame, output: str, discard: str) -> None:

@@ -28,6 +28,9 @@ def test_assemble_compare_and_rmdup(spark, tmp_path):
     assert rows and all(float(x.nodes_percent) == 100 for x in rows)
     cli.main(["rmdup", "-i", one, two, "-o", str(tmp_path / "a"), str(tmp_path / "b")])
     assert spark.read.text(str(tmp_path / "a")).where("value LIKE '>%'").count() == len(set(cuts))
+    cli.main(["rmdup", "-i", one, two, "-o", str(tmp_path / "c"), str(tmp_path / "d"), "-Q", "33"])
+    joined = [x.value for x in spark.read.option("lineSep", "\n@").text(str(tmp_path / "c")).collect()]
+    assert len(joined) == len(set(cuts)) and all(set(x.strip().split("\n")[3]) <= {"q", "~"} for x in joined)
     assert cli.cutoff("5") == 5 and cli.cutoff("#") == "#" and cli.cutoff("20") == 20
 
 

@@ -8,11 +8,12 @@ SMALL_BYTES = 32 << 20
 
 
 def read_table(spark: SparkSession, path: str, small_bytes: int = SMALL_BYTES) -> DataFrame:
-    """A Parquet table; one of at most small_bytes is dealt out over all cores.
+    """A Parquet table; a single file of at most small_bytes is dealt out over all cores.
 
-    A small file often is a single row group, which one task reads while the others wait.  The size is
-    that of the files, known before anything is read; larger tables are never shuffled here.
+    Such a file often is one row group, which one task reads while the others wait.  The size is that of
+    the files, known before anything is read; larger tables are never shuffled here.
     """
     df = spark.read.parquet(path)
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(spark.sparkContext.defaultParallelism) if 1 << 20 < size <= small_bytes else df
+    small = 1 << 20 < size <= small_bytes and len(df.inputFiles()) == 1
+    return df.repartition(spark.sparkContext.defaultParallelism) if small else df

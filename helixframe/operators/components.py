@@ -15,14 +15,14 @@ def _distinct(edges: DataFrame, label: str) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node ties its larger neighbours to the smallest of itself and its neighbours."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node ties itself and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = stage(down.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
     return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
 
 
@@ -37,8 +37,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 
     Large and small stars alternate until every component is one star, in a number of rounds that grows
     with the logarithm of the nodes, long chains included; there are never more edges than at the start.
-    Minima are aggregated before the shuffle; a node with many edges is hot on one side of a join alone,
-    which adaptive execution splits.  Edges live in staged tables; three numbers a round reach the driver.
+    Minima are aggregated before the shuffle and staged: a node with many edges is then hot on one side of
+    a join of two plain shuffles, which adaptive execution splits.  Edges live in staged tables; three numbers a round reach the driver.
     Node ids may be of any type with an order.
     """
     now = _distinct(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), "cc-edges")

@@ -215,7 +215,8 @@ def _group_ends(t: pa.Table, names: list[str]) -> np.ndarray:
 
 def _in_chunks(rows: DataFrame, key: list[str], spread: str, chunk: int) -> DataFrame:
     """Rows of groups of two or more, with columns ci, cj: the pairs of chunks that a row takes part in."""
-    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # staged, so that the join is one of two plain shuffles, whose hot keys adaptive execution splits
+    sizes = stage(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "block-sizes")
     many = F.ceil(F.col("size") / chunk)
     own = F.pmod(F.xxhash64(spread), F.col("n"))
     return (

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, stage
 
 GRAM = 64
-SLICE = 1 << 20
+SLICE = 1 << 19
 PLACE = np.uint64((1 << 22) - 1)
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -205,7 +205,7 @@ def _compare(length: int):
 
 
 def _split(rows: pa.Table):
-    """Parts of about a megabyte that hold whole groups."""
+    """Parts of about SLICE bytes that hold whole groups."""
     h = rows.column("h").to_numpy()
     sizes = np.cumsum(np.array([len(x) for x in rows.column("segment").to_pylist()]))
     ends = np.append(np.flatnonzero(np.diff(h)) + 1, len(h))
@@ -260,7 +260,9 @@ def repeated_intervals(docs: DataFrame, length: int, max_classes: int, slice_byt
     """docs(doc_id, th, data) -> (doc_id, th, start, stop) whose union is all that repeated windows cover."""
     runs = stage(suffix_runs(docs, length, slice_bytes), "suffix-runs")
     first = runs.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("n > 1")
-    again = stage(runs.join(first.select("h", (F.col("low") != F.col("high")).alias("mixed")), "h"), "suffix-again")
+    # staged, so that the join below is one of two plain shuffles, whose hot digits adaptive execution splits
+    first = stage(first.select("h", (F.col("low") != F.col("high")).alias("mixed")), "suffix-first")
+    again = stage(runs.join(first, "h"), "suffix-again")
     mixed = again.where("mixed")
     classes = mixed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), *(F.first(x).alias(x) for x in ("doc_id", "th", "start", "size")))
     classes = stage(classes, "suffix-classes")
@@ -268,7 +270,12 @@ def repeated_intervals(docs: DataFrame, length: int, max_classes: int, slice_byt
     segments = stage(_segments(docs, classes.join(groups, "h")), "suffix-segments")
     schema = "doc_id long, th long, start long, stop long"
     near = segments.where(F.col("classes") <= max_classes).repartition("h").sortWithinPartitions("h").mapInArrow(_compare(length), schema)
-    whole = [again.where("NOT mixed"), mixed.join(classes.where("copies > 1").select("h", "c"), ["h", "c"])]
+    # of classes that hold over a thousandth of the rows there are a thousand at most: those go to all tasks, unshuffled
+    many = classes.where("copies > 1").select("h", "c", "copies")
+    least = again.count() // 1000 + 2
+    often = F.broadcast(many.where(F.col("copies") >= least).select("h", "c"))
+    rest = mixed.join(often, ["h", "c"], "left_anti").join(many.where(F.col("copies") < least).select("h", "c"), ["h", "c"])
+    whole = [again.where("NOT mixed"), mixed.join(often, ["h", "c"]), rest]
     out = near
     for w in whole:
         out = out.union(w.select("doc_id", "th", "start", (F.col("start") + F.col("size")).alias("stop")))

@@ -6,10 +6,12 @@ Two entry points share the machinery:
   the 64 bits are cut into 5 pieces; two fingerprints within 3 bits agree on at least 2 pieces, so the
   10 pairs of pieces are keys of 25 or 26 bits that miss nothing.
 * ``near_duplicates``: documents whose sets of ``words``-word shingles have a Jaccard similarity of at
-  least ``similarity`` are linked.  At 0.8 fingerprints differ in about 10 bits, too many for pieces, so
-  the blocks are shared smallest shingles under 8 hash functions (a pair at 0.8 shares none of them
-  with probability 3e-6), the bit-sliced comparison runs with radius 20, and every link is then decided
-  on the exact shingle sets.
+  least ``similarity`` are linked.  Its fingerprints are of the shingle sets too, so repeats don't move
+  them.  At 0.8 they differ in about 10 bits, too many for pieces, so the blocks are shared smallest
+  shingles under 8 hash functions (a pair at 0.8 shares none of them with probability 3e-6), the
+  bit-sliced comparison runs with radius 28, and every link is then decided on the exact shingle sets.
+  The radius loses a calculated 1e-6 of pairs at 0.8 in the worst case (sets of 4 and 5 shingles, a bit
+  differs with probability 0.1875) and under 1e-8 of long ones; a lower similarity needs a wider one.
 
 Inside a block rows are held as vertical bit planes of 64 lanes; distances to all lanes are updated with
 carry-save counters and lanes leave once they exceed the radius.  A block emits a tree for each group
@@ -86,15 +88,14 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp, same, mins): fp and smallest shingles under 8 hashes; same identifies the shingle set."""
+    """(doc_id, fp, same, mins): the shingle set's fingerprint and smallest shingles under 8 hashes; same identifies the set."""
 
     def run(batches):
         for b in batches:
             fps, same, mins = [], [], []
             for t in b.column("text").to_pylist():
-                h = shingle_hashes(t, words)
-                u = np.unique(h)
-                fps.append(_signed(fingerprint(h)))
+                u = np.unique(shingle_hashes(t, words))
+                fps.append(_signed(fingerprint(u)))
                 same.append(xxhash.xxh3_128_digest(u.tobytes()))
                 mins.append((u[None, :] * SALTS[:, None]).min(axis=1).view(np.int64).tolist() if 0 < len(u) <= 4096 else [_signed(int((u * s).min())) for s in SALTS] if len(u) else [])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64()), pa.array(same, pa.binary()), pa.array(mins, pa.list_(pa.int64()))], ["doc_id", "fp", "same", "mins"])
@@ -259,14 +260,14 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3) -> Data
     return fps.join(named, F.col("fp") == F.col("of"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _verify(similarity: float):
+def _verify(similarity: float, radius: int):
     names = ["component", "ci", "cj"]
 
     def run(batches):
         for t in _runs(batches, names, 2048):
             node, fp = t.column("node").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
             sets = [np.asarray(x.values.to_numpy()).view(np.uint64) for x in t.column("shingles")]
-            a, b = bit_sliced_pairs(fp, _group_ends(t, names), 20)
+            a, b = bit_sliced_pairs(fp, _group_ends(t, names), radius)
             order = np.argsort(np.bitwise_count(fp[a] ^ fp[b]), kind="stable")
             root = list(range(len(node)))
 
@@ -308,7 +309,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", shingles array<long>")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, chunk: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, chunk: int = 1024, radius: int = 28) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, group_id): group_id is the smallest doc_id reachable over exact links.
 
     Rows with equal shingle sets are collapsed first, so copies cost nothing beyond their sketch.
@@ -316,14 +317,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ch
     found = stage(sketches(docs, words), "sketches")
     nodes = stage(found.groupBy("same").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.min("mins").alias("mins")).where("node IS NOT NULL"), "set-nodes")
     rows = nodes.select("fp", "node", F.posexplode("mins").alias("t", "key"))
-    coarse = connected_components(block_edges(rows, 20))
+    coarse = connected_components(block_edges(rows, radius))
     wanted = coarse.join(nodes.select("node", "fp"), "node")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")  # a repeated row meets itself only, which is no link
     members = shingle_sets(wanted.join(texts, "node"), words)
     names = ["component", "ci", "cj"]
     spread = _in_chunks(members, ["component"], "node", chunk)
     arrow_rows(docs.sparkSession, 256)
-    edges = spread.repartition(*names).sortWithinPartitions(*names).select(*names, "fp", "node", "shingles").mapInArrow(_verify(similarity), "src long, dst long")
+    edges = spread.repartition(*names).sortWithinPartitions(*names).select(*names, "fp", "node", "shingles").mapInArrow(_verify(similarity, radius), "src long, dst long")
     groups = connected_components(edges)
     named = nodes.join(groups, "node", "left").select(F.col("same").alias("of"), F.coalesce("component", "node").alias("group_id"))
     return found.join(named, F.col("same") == F.col("of"), "left").select("doc_id", "group_id")

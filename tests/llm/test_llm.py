@@ -297,6 +297,22 @@ def test_near_duplicates_match_brute_force(spark):
         assert {x.doc_id: x.group_id for x in simhash.near_duplicates(df, chunk=chunk).collect()} == want
 
 
+def test_near_duplicates_where_a_line_repeats_unequally_or_texts_are_short(spark):
+    r = random.Random(5)
+    word = lambda: f"w{r.randrange(10**9)}"
+    pairs = []
+    for n, times in [(500, 20)] * 20 + [(180, 10)] * 20 + [(100, 6)] * 20:
+        body, line = [word() for _ in range(n)], [word() for _ in range(10)]
+        pairs.append((body + line * 2, body + line * times))
+    pairs += [(w[:8], w) for w in ([word() for _ in range(9)] for _ in range(2000))]  # sets of 4 and 5 shingles
+    for a, b in pairs:
+        x, y = {*shingles(a)}, {*shingles(b)}
+        assert len(x & y) >= 0.8 * len(x | y)
+    texts = [" ".join(t) for p in pairs for t in p]
+    got = {x.doc_id: x.group_id for x in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i in range(len(texts))}
+
+
 def test_op5_odd_input(spark):
     out = simhash.simhash_components(clashing(odd_docs(spark))).collect()
     assert len(out) == len(ODD) + 4 and {x.component_id for x in out if x.doc_id in (0, 1, 2, 3)} == {0}

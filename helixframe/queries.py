@@ -470,7 +470,7 @@ def next_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def steady_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = ref_nodes(spark, sf_dir, 16, 16)
-    return seeds.steady_contigs(nodes, nodes.orderBy("kmer").limit(50).select(F.col("kmer").alias("seq")), 0.3)
+    return seeds.steady_contigs(nodes, nodes.select(F.col("kmer").alias("seq")), 0.3)
 
 
 @query()

@@ -1,7 +1,8 @@
 import pytest
 
+from helixframe import fixtures as X
 from helixframe import queries
-from tests import parity
+from tests import model, parity
 
 DATA = "/root/testdata/sf0.001"
 
@@ -27,3 +28,28 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns == ["k", "kmer", "coverage"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def letters(spark):
+    return [r.seq for r in X.reference_reads(spark, DATA).collect()]
+
+
+def test_steady_contigs_start_from_all_nodes(spark):
+    counts = {x: n for (_, x), n in model.count(letters(spark), 16, 16).items()}
+    close = lambda a, b: ((counts[a] - counts[b]) / max(counts[a], counts[b])) ** 2 < 0.3
+    want = {}
+    for seed in counts:
+        used, grown = {seed}, {}
+        for start in (seed, model.rc(seed)):
+            grown[start], at = "", start
+            while True:
+                ways = [at[1:] + c for c in "ACGT" if model.canon(at[1:] + c) in counts and close(model.canon(at), model.canon(at[1:] + c))]
+                if len(ways) != 1 or model.canon(ways[0]) in used:
+                    break
+                at = ways[0]
+                used.add(model.canon(at))
+                grown[start] += at[-1]
+        seq = model.rc(grown[model.rc(seed)]) + seed + grown[seed]
+        if len(seq) > 150:
+            want[seed] = seq
+    assert {r.seed: r.seq for r in queries.steady_contigs(spark, DATA).collect()} == want

@@ -221,7 +221,7 @@ def unitigs(nodes: DataFrame, k: int) -> DataFrame:
     return rows.groupBy("chain").applyInPandas(run, "seq string, length long, n_nodes long, coverage long")
 
 
-def max_coverage_contigs(nodes: DataFrame, seeds: DataFrame, min_k: int, limit: int = 10_000, max_nodes: int = 2_000_000) -> DataFrame:
+def max_coverage_contigs(nodes: DataFrame, seeds: DataFrame, min_k: int, max_nodes: int = 2_000_000) -> DataFrame:
     """seeds(seq) -> (seed, seq, length, quality): greedy extension to both sides by the best covered base.
 
     A walk may go anywhere, so every task gets the graph; max_nodes is the checked bound of that table.
@@ -233,8 +233,9 @@ def max_coverage_contigs(nodes: DataFrame, seeds: DataFrame, min_k: int, limit:
 
     def run(batches):
         for pdf in batches:
-            rows = [(s, *walks.greedy(s, coverage.value, min_k, limit)) for s in pdf.seq]
+            rows = [(s, *walks.greedy(s, coverage.value, min_k)) for s in pdf.seq]
             yield pd.DataFrame([(s, seq, len(seq), cov) for s, seq, cov in rows], columns=["seed", "seq", "length", "cov"])
 
-    out = seeds.select("seq").mapInPandas(run, "seed string, seq string, length long, cov array<long>")
+    spread = seeds.select("seq").repartition(nodes.sparkSession.sparkContext.defaultParallelism, "seq")
+    out = spread.mapInPandas(run, "seed string, seq string, length long, cov array<long>")
     return out.select("seed", "seq", "length", S.coverage_quality("cov").alias("quality"))

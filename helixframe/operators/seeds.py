@@ -42,41 +42,42 @@ def bounded_graph(nodes: DataFrame, max_nodes: int) -> dict[str, int]:
     return {r.kmer: r.coverage for r in rows}
 
 
-def steady(seed: str, coverage: dict[str, int], threshold: float, limit: int) -> tuple[str, list[int]]:
+def steady(seed: str, coverage: dict[str, int], threshold: float) -> tuple[str, list[int]]:
     """Extend to both sides while exactly one next k-mer is close in coverage and none is met twice."""
     used = {key(seed)}
 
     def ahead(w: str) -> tuple[str, list[int]]:
-        out, covs = w, []
-        while len(covs) < limit:
+        out, covs = [], []
+        while True:
             here = coverage.get(key(w), 0)
             close = [c for c in "ACGT" if key(w[1:] + c) in coverage and link_strength(here, coverage[key(w[1:] + c)]) ** 2 < threshold]
             if len(close) != 1 or key(w[1:] + close[0]) in used:
-                break
+                return "".join(out), covs
             w = w[1:] + close[0]
             used.add(key(w))
-            out, covs = out + close[0], [*covs, coverage[key(w)]]
-        return out, covs
+            out.append(close[0])
+            covs.append(coverage[key(w)])
 
     forward, after = ahead(seed)
     backward, before = ahead(rc(seed))
-    return rc(backward[len(seed) :]) + forward, before[::-1] + [coverage.get(key(seed), 0)] * len(seed) + after
+    return rc(backward) + seed + forward, before[::-1] + [coverage.get(key(seed), 0)] * len(seed) + after
 
 
-def steady_contigs(nodes: DataFrame, seeds: DataFrame, threshold: float = 0.0025, limit: int = 100_000, max_nodes: int = 2_000_000, drop_up_to: int = 150, long_from: int = 500) -> DataFrame:
+def steady_contigs(nodes: DataFrame, seeds: DataFrame, threshold: float = 0.0025, max_nodes: int = 2_000_000, drop_up_to: int = 150, long_from: int = 500) -> DataFrame:
     """seeds(seq) -> (seed, seq, length, average, deviation, is_long); contigs of up to drop_up_to bases are dropped."""
     graph = nodes.sparkSession.sparkContext.broadcast(bounded_graph(nodes, max_nodes))
 
     def run(batches):
         for pdf in batches:
-            rows = [(s, *steady(s, graph.value, threshold, limit)) for s in pdf.seq]
+            rows = [(s, *steady(s, graph.value, threshold)) for s in pdf.seq]
             yield pd.DataFrame([(s, seq, len(seq), float(pd.Series(c).mean()), float(pd.Series(c).std(ddof=0))) for s, seq, c in rows], columns=["seed", "seq", "length", "average", "deviation"])
 
-    out = seeds.select("seq").mapInPandas(run, "seed string, seq string, length long, average double, deviation double")
+    spread = seeds.select("seq").repartition(nodes.sparkSession.sparkContext.defaultParallelism, "seq")
+    out = spread.mapInPandas(run, "seed string, seq string, length long, average double, deviation double")
     return out.where(F.col("length") > drop_up_to).withColumn("is_long", F.col("length") >= long_from)
 
 
-def assemble_all(nodes: DataFrame, min_k: int, max_nodes: int = 2_000_000, limit: int = 100_000) -> DataFrame:
+def assemble_all(nodes: DataFrame, min_k: int, max_nodes: int = 2_000_000) -> DataFrame:
     """Greedy contigs from every node not yet used with at least average coverage, longest k-mers first.
 
     Each contig takes its nodes away from the next ones, so this is one sequence of steps on the driver
@@ -90,7 +91,7 @@ def assemble_all(nodes: DataFrame, min_k: int, max_nodes: int = 2_000_000, limit
     for kmer in sorted(graph, key=lambda x: (-len(x), x)):
         if kmer not in left or graph[kmer] < average or len(kmer) < min_k:
             continue
-        seq, cov = greedy(kmer, left, min_k, limit)
+        seq, cov = greedy(kmer, left, min_k)
         for k in range(min_k, len(kmer) + 1):
             for i in range(len(seq) - k + 1):
                 left.pop(key(seq[i : i + k]), None)

@@ -187,32 +187,37 @@ def merge_all(groups: dict[str, dict], min_k: int, max_rounds: int) -> dict[str,
     return groups
 
 
-def greedy(seed: str, coverage: dict[str, int], min_k: int, limit: int) -> tuple[str, list[int]]:
+def greedy(seed: str, coverage: dict[str, int], min_k: int) -> tuple[str, list[int]]:
     """Extend seed to both sides by the base whose node scores highest, coverage * k * (k - 1).
 
-    Each base is judged at the longest context that has it.  Nodes are used once.
+    Each base is judged at the longest context that has it.  Nodes are used once, so walks end.  A base's
+    coverage is the highest of its own node and of those that later bases within the node's k take.
     """
     used = {key(seed)}
 
     def ahead(w: str) -> tuple[str, list[int]]:
-        grown, covs = w, []
-        while len(covs) < limit:
+        at, grown, covs = w, [], []
+        while True:
             best = None
             for c in "ACGT":
-                for k in range(min(len(grown), len(w)), min_k - 1, -1):
-                    child = key(grown[-k:] + c)
+                for k in range(len(at), min_k - 1, -1):
+                    child = key(at[-k:] + c)
                     if child in coverage:
                         score = coverage[child] * (k + 1) * k
                         if child not in used and (best is None or score > best[0]):
                             best = score, c, child
                         break
             if best is None:
-                break
-            grown, covs = grown + best[1], [*covs, coverage[best[2]]]
+                return "".join(grown), covs
+            at = (at + best[1])[1:]
+            grown.append(best[1])
+            here = coverage[best[2]]
+            back = max(0, len(covs) - len(best[2]))
+            covs[back:] = [max(v, here) for v in covs[back:]]
+            covs.append(here)
             used.add(best[2])
-        return grown, covs
 
     forward, after = ahead(seed)
     backward, before = ahead(rc(seed))
     own = [coverage.get(key(seed), 0)] * len(seed)
-    return rc(backward[len(seed) :]) + forward, before[::-1] + own + after
+    return rc(backward) + seed + forward, before[::-1] + own + after

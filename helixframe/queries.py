@@ -438,7 +438,7 @@ def unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def maxcov_contig(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = ref_nodes(spark, sf_dir, 9, 12)
-    return cluster.max_coverage_contigs(nodes, nodes.where("k = 12").orderBy(F.desc("coverage"), "kmer").limit(10).select(F.col("kmer").alias("seq")), 9)
+    return cluster.max_coverage_contigs(nodes, nodes.where("k = 12").select(F.col("kmer").alias("seq")), 9)
 
 
 @query()

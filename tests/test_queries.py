@@ -1,7 +1,10 @@
+import random
+
 import pytest
 
 from helixframe import fixtures as X
 from helixframe import queries
+from helixframe.operators import cluster, walks
 from tests import model, parity
 
 DATA = "/root/testdata/sf0.001"
@@ -53,3 +56,26 @@ def test_steady_contigs_start_from_all_nodes(spark):
         if len(seq) > 150:
             want[seed] = seq
     assert {r.seed: r.seq for r in queries.steady_contigs(spark, DATA).collect()} == want
+
+
+def test_maxcov_starts_from_all_nodes_of_the_level(spark):
+    seeds = {x for _, x in model.count(letters(spark), 12, 12)}
+    assert {r.seed for r in queries.maxcov_contig(spark, DATA).select("seed").collect()} == seeds
+
+
+def test_maxcov_walks_to_the_end(spark):
+    r = random.Random(14)
+    seq = "".join(r.choice("ACGT") for _ in range(12_000))
+    counts = model.count([seq], 20, 20)
+    assert len(counts) == len(seq) - 19
+    nodes = spark.createDataFrame([(x, n) for (_, x), n in counts.items()], "kmer string, coverage long")
+    rows = cluster.max_coverage_contigs(nodes, spark.createDataFrame([(seq[:20],)], "seq string"), 19).collect()
+    assert [r.seq for r in rows] == [seq]
+
+
+def test_maxcov_coverage_is_the_highest_within_k():
+    seq, cov = "AACCAGTCTTGCA", [1, 1, 7, 2, 3, 1, 5, 1, 1]  # of its 5-mers
+    nodes = {model.canon(seq[i : i + 5]): c for i, c in enumerate(cov)}
+    assert len(nodes) == len(cov)
+    got = walks.greedy(seq[:5], nodes, 4)
+    assert got == (seq, [1] * 5 + [max(cov[i : i + 6]) for i in range(1, len(cov))])

@@ -427,7 +427,7 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def merged_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, groups = _groups(spark, sf_dir)
-    return cluster.contigs(cluster.merge_groups(nodes, groups, 9, max_rounds=1), 9)
+    return cluster.contigs(cluster.merge_groups(nodes, groups, 9), 9)
 
 
 @query()

@@ -58,6 +58,22 @@ def test_steady_contigs_start_from_all_nodes(spark):
     assert {r.seed: r.seq for r in queries.steady_contigs(spark, DATA).collect()} == want
 
 
+def test_merged_contigs_merge_until_nothing_merges(spark, monkeypatch):
+    r = random.Random(20)
+    whole = "".join(r.choice("ACGT") for _ in range(60))
+    counts = model.count([whole[i : i + r.randrange(14, 30)] for i in (r.randrange(0, 46) for _ in range(12))], 9, 11)
+    edges = model.extensions(counts)
+    info = {x: (counts[k, x], model.mask(*edges[k, x])) for k, x in model.clean(counts, 9) if x != model.rc(x)}
+    parts = [g for part, strength in walks.parts_within(info, cluster.CUTOFF) for g in walks.settle(part, strength, 9)]
+    rows = [(min(f"{len(y):03d}:{y}" for y in g["nodes"]), len(x), x, *v, *g["ends"], g["length"], g["strength"], g["cyclic"], False) for g in parts for x, v in g["nodes"].items()]
+    nodes = spark.createDataFrame([(len(x), x, *v, False) for x, v in info.items()], "k long, kmer string, coverage long, edges int, is_palindrome boolean")
+    monkeypatch.setattr(queries, "_groups", lambda *_: (nodes, spark.createDataFrame(rows, cluster.GROUP_SCHEMA)))
+    named = lambda: {min(f"{len(y):03d}:{y}" for y in g["nodes"]): g | {"has_palindrome": False} for g in parts}
+    once, full = (set(walks.merge_all(named(), 9, n)) for n in (1, 1000))
+    assert len(once) == 2 and len(full) == 1
+    assert {x.group_id for x in queries.merged_contigs(spark, DATA).collect()} == full
+
+
 def test_maxcov_starts_from_all_nodes_of_the_level(spark):
     seeds = {x for _, x in model.count(letters(spark), 12, 12)}
     assert {r.seed for r in queries.maxcov_contig(spark, DATA).select("seed").collect()} == seeds

@@ -34,16 +34,12 @@ def adjacency(nodes: DataFrame, min_k: int) -> DataFrame:
     return both.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.min("strength").alias("strength"))
 
 
-def reach(edges: DataFrame, start: DataFrame, max_steps: int = 1000) -> DataFrame:
-    """H1: nodes of start(node) and all that edges(src, dst) lead to in either direction, by frontier joins."""
-    both = stage(edges.select("src", "dst").union(edges.select("dst", "src")).distinct(), "reach-edges")
-    seen = frontier = stage(start.select("node").distinct(), "reach")
-    for _ in range(max_steps):
-        frontier = stage(frontier.join(both, frontier["node"] == both["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"), "reach")
-        if frontier.isEmpty():
-            break
-        seen = stage(seen.union(frontier), "reach")
-    return seen
+def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """H1: nodes of start(node) and all that edges(src, dst) lead to in either direction: the components of start's nodes."""
+    first = stage(start.select("node").distinct(), "reach-start")
+    groups = stage(connected_components(edges), "reach-components")
+    met = groups.join(first, "node", "left_semi").select("component").distinct()
+    return groups.join(met, "component", "left_semi").select("node").union(first).distinct()
 
 
 def clusters(nodes: DataFrame, min_k: int, cutoff: float = CUTOFF) -> DataFrame:

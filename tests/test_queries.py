@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from helixframe import fixtures as X
 from helixframe import queries
@@ -95,3 +96,10 @@ def test_maxcov_coverage_is_the_highest_within_k():
     assert len(nodes) == len(cov)
     got = walks.greedy(seq[:5], nodes, 4)
     assert got == (seq, [1] * 5 + [max(cov[i : i + 6]) for i in range(1, len(cov))])
+
+
+def test_reach_has_no_bound_of_steps(spark):
+    edges = spark.range(1500).select(F.format_string("%05d", "id").alias("src"), F.format_string("%05d", F.col("id") + 1).alias("dst"))
+    edges = edges.union(spark.createDataFrame([("x", "y")], "src string, dst string"))
+    got = [r.node for r in cluster.reach(edges, spark.createDataFrame([("00000",), ("alone",)], "node string")).collect()]
+    assert sorted(got) == [*(f"{i:05d}" for i in range(1501)), "alone"]

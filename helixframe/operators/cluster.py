@@ -14,6 +14,7 @@ from ..functions import seq as S
 from ..plans.staging import stage
 from . import walks
 from .components import connected_components
+from .grouped import by_group
 from .kmers import oriented
 from .links import neighbours, parents
 from .maintain import substrings
@@ -88,28 +89,27 @@ GROUP_SCHEMA = "group_id string, k long, kmer string, coverage long, edges int,
 def settled_groups(groups: DataFrame, min_k: int) -> DataFrame:
     """H3: clusters whose two walks disagree or loop are split; one row for each node, with its group's ends."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = {r.kmer: (int(r.coverage), int(r.edges)) for r in pdf.itertuples()}
-        palindrome = bool(pdf.has_palindrome.iloc[0])
-        rows = []
-        for g in walks.settle(nodes, float(pdf.strength.iloc[0]), min_k):
+    def run(rows: list):
+        for g in walks.settle(_members(rows), float(rows[0].strength), min_k):
             name = min(f"{len(x):03d}:{x}" for x in g["nodes"])
-            rows += [(name, len(x), x, c, e, *g["ends"], g["length"], g["strength"], g["cyclic"], palindrome) for x, (c, e) in g["nodes"].items()]
-        return pd.DataFrame(rows, columns=[f.split()[0] for f in GROUP_SCHEMA.split(", ")])
+            yield from ((name, len(x), x, c, e, *g["ends"], g["length"], g["strength"], g["cyclic"], rows[0].has_palindrome) for x, (c, e) in g["nodes"].items())
 
-    return groups.groupBy("group_id").applyInPandas(run, GROUP_SCHEMA)
+    return by_group(groups, "group_id", run, GROUP_SCHEMA)
+
+
+def _members(rows: list) -> dict[str, tuple[int, int]]:
+    return {r.kmer: (r.coverage, r.edges) for r in rows}
 
 
 def contigs(groups: DataFrame, min_k: int, min_length: int = 0, max_length: int | None = None) -> DataFrame:
     """(group_id, seq, length, average_coverage, cyclic, has_palindrome) of settled groups, min_length < length <= max_length."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = {r.kmer: (int(r.coverage), int(r.edges)) for r in pdf.itertuples()}
-        first = pdf.iloc[0]
-        seq, cov = walks.contig(first.end0, nodes, min_k)
-        return pd.DataFrame([(first.group_id, walks.key(seq), len(seq), cov, first.cyclic, first.has_palindrome)], columns=["group_id", "seq", "length", "average_coverage", "cyclic", "has_palindrome"])
+    def run(rows: list):
+        first = rows[0]
+        seq, cov = walks.contig(first.end0, _members(rows), min_k)
+        yield first.group_id, walks.key(seq), len(seq), cov, first.cyclic, first.has_palindrome
 
-    out = groups.groupBy("group_id").applyInPandas(run, "group_id string, seq string, length long, average_coverage double, cyclic boolean, has_palindrome boolean").where(F.col("length") > min_length)
+    out = by_group(groups, "group_id", run, "group_id string, seq string, length long, average_coverage double, cyclic boolean, has_palindrome boolean").where(F.col("length") > min_length)
     return out if max_length is None else out.where(F.col("length") <= max_length)
 
 
@@ -128,17 +128,18 @@ def merge_round(nodes: DataFrame, groups: DataFrame, min_k: int) -> tuple[DataFr
         due = stage(due, "pairings-due")
         member = due.select(F.col("g1").alias("pair"), "link_strength", F.explode(F.array("g1", "g2")).alias("group_id"))
 
-        def test(pdf: pd.DataFrame) -> pd.DataFrame:
-            halves = [pdf[pdf.group_id == g] for g in sorted(pdf.group_id.unique())]
-            info = [{"ends": (h.end0.iloc[0], h.end1.iloc[0]), "length": int(h.length.iloc[0])} for h in halves]
-            best = walks.joined(*info, {r.kmer: (int(r.coverage), int(r.edges)) for r in pdf.itertuples()}, min_k) if len(halves) == 2 else None
-            if best is None:
-                return pd.DataFrame(columns=["old", "new", "end0", "end1", "length", "strength", "cyclic", "has_palindrome"])
-            strength = max(float(pdf.strength.max()), float(pdf.link_strength.iloc[0]))
-            new = halves[0].group_id.iloc[0]
-            return pd.DataFrame([(h.group_id.iloc[0], new, *best[1], best[0], strength, bool(pdf.cyclic.any()), bool(pdf.has_palindrome.any())) for h in halves], columns=["old", "new", "end0", "end1", "length", "strength", "cyclic", "has_palindrome"])
-
-        merged = groups.join(member, "group_id").groupBy("pair").applyInPandas(test, "old string, new string, end0 string, end1 string, length long, strength double, cyclic boolean, has_palindrome boolean")
+        def test(rows: list):
+            halves = [[r for r in rows if r.group_id == g] for g in sorted({r.group_id for r in rows})]
+            if len(halves) != 2:
+                return
+            info = [{"ends": (h[0].end0, h[0].end1), "length": h[0].length} for h in halves]
+            best = walks.joined(*info, _members(rows), min_k)
+            if best is not None:
+                strength = max(*(r.strength for r in rows), rows[0].link_strength)
+                for h in halves:
+                    yield h[0].group_id, halves[0][0].group_id, *best[1], best[0], strength, any(r.cyclic for r in rows), any(r.has_palindrome for r in rows)
+
+        merged = by_group(groups.join(member, "group_id"), "pair", test, "old string, new string, end0 string, end1 string, length long, strength double, cyclic boolean, has_palindrome boolean")
         merged = stage(merged, "merged")
         todo = todo.join(due.select("g1", "g2"), ["g1", "g2"], "left_anti")
         if not merged.isEmpty():
@@ -166,15 +167,15 @@ def merge_groups(nodes: DataFrame, groups: DataFrame, min_k: int, max_rounds: in
     named = stage(named.join(sizes, "component"), "merge-input")
     columns = [f.split()[0] for f in GROUP_SCHEMA.split(", ")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = {}
-        for name, g in pdf.groupby("group_id"):
-            first = g.iloc[0]
-            parts[name] = {"nodes": {r.kmer: (int(r.coverage), int(r.edges)) for r in g.itertuples()}, "ends": (first.end0, first.end1), "length": int(first.length), "strength": float(first.strength), "cyclic": bool(first.cyclic), "has_palindrome": bool(first.has_palindrome)}
-        rows = [(name, len(x), x, c, e, *g["ends"], g["length"], g["strength"], g["cyclic"], g["has_palindrome"]) for name, g in walks.merge_all(parts, min_k, max_rounds).items() for x, (c, e) in g["nodes"].items()]
-        return pd.DataFrame(rows, columns=columns)
+    def run(rows: list):
+        parts: dict[str, dict] = {}
+        for r in rows:
+            own = parts.setdefault(r.group_id, {"nodes": {}, "ends": (r.end0, r.end1), "length": r.length, "strength": r.strength, "cyclic": r.cyclic, "has_palindrome": r.has_palindrome})
+            own["nodes"][r.kmer] = r.coverage, r.edges
+        for name, g in walks.merge_all(parts, min_k, max_rounds).items():
+            yield from ((name, len(x), x, c, e, *g["ends"], g["length"], g["strength"], g["cyclic"], g["has_palindrome"]) for x, (c, e) in g["nodes"].items())
 
-    out = named.where(F.col("size") <= max_nodes).select("component", *columns).groupBy("component").applyInPandas(run, GROUP_SCHEMA)
+    out = by_group(named.where(F.col("size") <= max_nodes).select("component", *columns), "component", run, GROUP_SCHEMA)
     large = named.where(F.col("size") > max_nodes).select(*columns)
     if large.isEmpty():
         return out
@@ -203,18 +204,18 @@ def unitigs(nodes: DataFrame, k: int) -> DataFrame:
     nexts = links.groupBy(F.col("src").alias("kmer")).agg(F.collect_list(F.struct("wa", "wb")).alias("nexts"))
     rows = rows.join(nexts, "kmer", "left")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        on = {x["wa"]: x["wb"] for xs in pdf.nexts if xs is not None for x in xs}
+    def run(rows: list):
+        on = {x["wa"]: x["wb"] for r in rows for x in r.nexts or ()}
         reached = set(on.values())
         starts = sorted(w for w in on if w not in reached)
-        w = starts[0] if starts else min(pdf.kmer)
-        seq, seen = w, {walks.key(w)}
+        w = starts[0] if starts else min(r.kmer for r in rows)
+        seq, seen = [w], {walks.key(w)}
         while (w := on.get(w)) is not None and walks.key(w) not in seen:
             seen.add(walks.key(w))
-            seq += w[-1]
-        return pd.DataFrame([(walks.key(seq), len(seq), len(pdf), int(pdf.coverage.sum()))], columns=["seq", "length", "n_nodes", "coverage"])
+            seq.append(w[-1])
+        yield walks.key("".join(seq)), sum(map(len, seq)), len(rows), sum(r.coverage for r in rows)
 
-    return rows.groupBy("chain").applyInPandas(run, "seq string, length long, n_nodes long, coverage long")
+    return by_group(rows, "chain", run, "seq string, length long, n_nodes long, coverage long")
 
 
 def max_coverage_contigs(nodes: DataFrame, seeds: DataFrame, min_k: int, max_nodes: int = 2_000_000) -> DataFrame:

@@ -31,14 +31,24 @@ def clean(nodes: DataFrame, min_k: int) -> DataFrame:
     return nodes.where(F.col("k") <= min_k).unionByName(nodes.where(F.col("k") > min_k).join(stay, ["k", "kmer"], "left_semi"))
 
 
-def subtract_coverage(nodes: DataFrame, amounts: DataFrame, floor_k: int = 1) -> DataFrame:
-    """nodes(k, kmer, coverage) less amounts(k, kmer, amount), level by level from the longest k-mers.
+def refused_amounts(nodes: DataFrame, amounts: DataFrame) -> DataFrame:
+    """C4: (k, kmer, amount, reason) of the amounts asked of palindromes, or over the node's coverage, or of no node."""
+    asked = amounts.select("k", "kmer", F.col("amount").cast("long").alias("amount")).join(nodes.select("k", "kmer", "coverage"), ["k", "kmer"], "left")
+    palindrome = S.is_palindrome("kmer")
+    reason = F.when(F.col("coverage").isNull(), "no node").when(palindrome, "palindrome").when(F.col("amount") > F.col("coverage"), "coverage")
+    return asked.select("k", "kmer", "amount", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def subtract_coverage(nodes: DataFrame, amounts: DataFrame, floor_k: int = 1, refuse: bool = False) -> DataFrame:
+    """C3, and with refuse C4, which leaves refused_amounts out: nodes(k, kmer, coverage) less amounts(k, kmer, amount), level by level from the longest k-mers.
 
     What is taken from a node is taken from both its parents too.  A node keeps at least the coverage of
     its children on either side, and at least zero.  Levels down to floor_k + 1 are visited; the number of
     levels is max_k, whatever the input's size.
     """
     top = nodes.agg(F.max("k")).first()[0]
+    if refuse:
+        amounts = amounts.join(refused_amounts(nodes, amounts).select("k", "kmer"), ["k", "kmer"], "left_anti")
     out, asked, kept = [], amounts.select("k", "kmer", F.col("amount").cast("long").alias("amount")), None
     for k in range(int(top or 0), floor_k, -1):
         level = nodes.where(F.col("k") == k).select("k", "kmer", "coverage")

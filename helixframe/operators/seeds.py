@@ -97,3 +97,59 @@ def assemble_all(nodes: DataFrame, min_k: int, max_nodes: int = 2_000_000) -> Da
                 left.pop(key(seq[i : i + k]), None)
         rows.append((key(seq), len(seq), sum(cov) / len(cov)))
     return nodes.sparkSession.createDataFrame(rows, "seq string, length long, average double")
+
+
+def extract_all(nodes: DataFrame, min_overlap: int = 7, max_nodes: int = 2_000_000) -> DataFrame:
+    """(seq, length) of unambiguous extensions of every node not yet marked, the longest k-mers first.
+
+    A walk follows the only base seen behind its context; where none was seen it falls back to shorter
+    contexts of min_overlap - 1 bases at least.  It ends at a fork, at a palindrome it falls back to, and
+    behind the base that leads to a marked node.  Nodes on the way are marked with all that they contain,
+    for later walks too, so this is one sequence of steps over a graph of checked size.
+    """
+    rows = nodes.select("kmer", "edges").limit(max_nodes + 1).collect()
+    if len(rows) > max_nodes:
+        raise ValueError(f"over {max_nodes} nodes; prune the graph or raise max_nodes")
+    masks = {r.kmer: r.edges for r in rows}
+    marked: set[str] = set()
+
+    def mark(w: str) -> None:
+        todo = [w]
+        while todo:
+            x = todo.pop()
+            if (name := key(x)) not in marked:
+                marked.add(name)
+                if len(x) > 2:
+                    todo += [x[1:], x[:-1]]
+
+    def bases(w: str) -> list[str]:
+        bits = masks.get(key(w), 0)
+        bits = bits >> 4 if w == key(w) else bits
+        return [c for i, c in enumerate("ACGT") if bits & (8 >> i)]
+
+    def ahead(w: str) -> str:
+        grown = []
+        while True:
+            mark(w)
+            seen = bases(w)
+            while not seen and len(w) >= min_overlap:
+                w = w[1:]
+                if w == rc(w):
+                    break
+                seen = bases(w)
+            if len(seen) != 1:
+                return "".join(grown)
+            while len(w) > 1 and key(w + seen[0]) not in masks:
+                w = w[1:]
+            w += seen[0]
+            grown.append(seen[0])
+            if key(w) in marked or key(w) not in masks:
+                return "".join(grown)
+
+    out = []
+    for kmer in sorted(masks, key=lambda x: (-len(x), x)):
+        if kmer not in marked:
+            grown = ahead(kmer)
+            seq = rc(kmer + grown) + ahead(rc(kmer))
+            out.append((key(seq), len(seq)))
+    return nodes.sparkSession.createDataFrame(out, "seq string, length long")

@@ -29,38 +29,69 @@ def observed(w: str, nodes: dict) -> set[str]:
     return {c for i, c in enumerate("ACGT") if bits & (8 >> i)}
 
 
-def walk(w: str, nodes: dict, min_k: int, take: Callable[[str, int], None] | None = None) -> tuple[int, str]:
-    """(length, last place) of the contig that starts with w; the length is negative where the walk meets itself.
+def first_base(candidates: list[str], context: str) -> str:
+    """The choice unless another is given: bases in their order."""
+    return candidates[0]
 
-    Longer contexts go first: extend by the first base that gives a node of the group, else drop the oldest
-    base, asking then for a base that was seen after the longer context.
+
+class Walk:
+    """One walk over a group, place by place (H5).
+
+    A place is an oriented string and may be met once: meeting one again ends the walk as a loop.  From a
+    place that is a node of the group the walk either *extends*, by a base that gives a longer node, or
+    *shortens* its context by the oldest base, after which only bases seen behind the longer context will
+    do.  A context that is no node, or shorter than min_k, may be tried once more; a place that is its own
+    reverse complement can't be shortened.  choose(candidates, context) picks among possible bases (X5).
     """
-    length, at, end, allowed = len(w), w, w, set("ACGT")
-    seen, last_try = {w}, False
-    while True:
-        c = next((c for c in "ACGT" if c in allowed and key(at + c) in nodes), None)
-        if c is not None:
-            at += c
-            if at in seen:
-                return -length, end
-            seen.add(at)
-            length += 1
-            if take:
-                take(c, nodes[key(at)][0])
-            end, allowed, last_try = at, observed(at, nodes), False
-            continue
-        if last_try or at == rc(at):
-            return length, end
-        allowed = observed(at, nodes)
-        at = at[1:]
-        if key(at) not in nodes or len(at) < min_k:
-            last_try = True
-        elif at in seen:
-            return -length, end
-        else:
-            seen.add(at)
-        if len(at) < 1:
-            return length, end
+
+    def __init__(self, start: str, nodes: dict, min_k: int, take: Callable[[str, int], None] | None = None, choose: Callable[[list[str], str], str] = first_base):
+        self.nodes, self.min_k, self.take, self.choose = nodes, min_k, take, choose
+        self.place = self.end = start
+        self.length, self.met = len(start), {start}
+        self.bases, self.last_chance = set("ACGT"), False
+
+    def extend(self) -> bool | None:
+        """True after a step, False if no base leads on, None if the step closes a loop."""
+        options = [c for c in "ACGT" if c in self.bases and key(self.place + c) in self.nodes]
+        if not options:
+            return False
+        base = options[0] if len(options) == 1 else self.choose(options, self.place)
+        longer = self.place + base
+        if longer in self.met:
+            return None
+        self.met.add(longer)
+        self.place = self.end = longer
+        self.length += 1
+        self.bases, self.last_chance = observed(longer, self.nodes), False
+        if self.take:
+            self.take(base, self.nodes[key(longer)][0])
+        return True
+
+    def shorten(self) -> bool | None:
+        """True after dropping a base, False where the walk ends, None if the shorter place was met before."""
+        if self.last_chance or self.place == rc(self.place):
+            return False
+        self.bases = observed(self.place, self.nodes)
+        self.place = self.place[1:]
+        self.last_chance = len(self.place) < self.min_k or key(self.place) not in self.nodes
+        if not self.last_chance:
+            if self.place in self.met:
+                return None
+            self.met.add(self.place)
+        return len(self.place) > 0
+
+    def run(self) -> tuple[int, str]:
+        """(length, last node); the length is negative where the walk meets itself."""
+        step: bool | None = True
+        while step:
+            step = self.extend()
+            if step is False:
+                step = self.shorten()
+        return (-self.length if step is None else self.length), self.end
+
+
+def walk(start: str, nodes: dict, min_k: int, take: Callable[[str, int], None] | None = None, choose: Callable[[list[str], str], str] = first_base) -> tuple[int, str]:
+    return Walk(start, nodes, min_k, take, choose).run()
 
 
 def link_strength(a: int, b: int) -> float:

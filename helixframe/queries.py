@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as X
 from .functions import seq as S
-from .operators import cluster, kmers, links, maintain, reads, seeds, stats
+from .operators import cluster, kmers, links, maintain, reads, seeds, stats, visits
 from .plans.staging import stage, staged_path
 from .sources import fastx, graphs
 from .streaming import counts as streams
@@ -269,12 +269,38 @@ def shared_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.shared_links(nodes, maintain.clean(nodes, 6))
 
 
-@query()
+def subtracted_sql(top: int, low: int, asked: str) -> str:
+    """Levels from top to low; asked gives (kmer, amount) of the top one."""
+    parts = []
+    for k in range(top, low - 1, -1):
+        if k == top:
+            parts += [f"a{k} AS ({asked})", f"low{k} AS (SELECT kmer, 0 AS low FROM nod WHERE k = {k})"]
+        else:
+            up = f"s{k + 1}"
+            parts.append(f"a{k} AS (SELECT kmer, sum(amount) AS amount FROM (SELECT {canon(f'right(kmer, {k})')} AS kmer, coverage - rest AS amount FROM {up} WHERE rest < coverage UNION ALL SELECT {canon(f'left(kmer, {k})')}, coverage - rest FROM {up} WHERE rest < coverage) GROUP BY 1)")
+            parts.append(f"low{k} AS (SELECT {canon('p')} AS kmer, max(s) AS low FROM (SELECT left(w, {k}) AS p, sum(rest) AS s FROM (SELECT kmer AS w, rest FROM {up} UNION ALL SELECT {rc('kmer')}, rest FROM {up} WHERE kmer <> {rc('kmer')}) GROUP BY 1) GROUP BY 1)")
+        parts.append(f"s{k} AS MATERIALIZED (SELECT k, kmer, coverage, greatest(coverage - coalesce(amount, 0), least(coalesce(low, 0), coverage), 0)::BIGINT AS rest FROM nod LEFT JOIN a{k} USING (kmer) LEFT JOIN low{k} USING (kmer) WHERE nod.k = {k})")
+    return ",\n".join(parts) + "\n" + " UNION ALL ".join(f"SELECT k, kmer, rest AS coverage FROM s{k}" for k in range(top, low - 1, -1))
+
+
+@query(f"WITH {nodes_sql(4, 8, REFS)}, {subtracted_sql(8, 4, 'SELECT kmer, 1 AS amount FROM nod WHERE k = 8 AND coverage > 1')}")
 def subtract_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = ref_nodes(spark, sf_dir, 4, 8)
     return maintain.subtract_coverage(nodes, nodes.where("k = 8 AND coverage > 1").select("k", "kmer", F.lit(1).alias("amount")), 3)
 
 
+@query(f"WITH {nodes_sql(4, 8, REFS)} SELECT k, kmer, 2::BIGINT AS amount, CASE WHEN is_palindrome THEN 'palindrome' ELSE 'coverage' END AS reason FROM nod WHERE k = 8 AND (is_palindrome OR coverage < 2)")
+def subtract_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = ref_nodes(spark, sf_dir, 4, 8)
+    return maintain.refused_amounts(nodes, nodes.where("k = 8").select("k", "kmer", F.lit(2).cast("long").alias("amount")))
+
+
+@query(f"WITH {nodes_sql(4, 8, REFS)}, {subtracted_sql(8, 4, 'SELECT kmer, 2 AS amount FROM nod WHERE k = 8 AND NOT is_palindrome AND coverage >= 2')}")
+def subtract_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = ref_nodes(spark, sf_dir, 4, 8)
+    return maintain.subtract_coverage(nodes, nodes.where("k = 8").select("k", "kmer", F.lit(2).alias("amount")), 3, refuse=True)
+
+
 @query(f"""WITH {nodes_sql(4, 8, REFS)}, sub AS (SELECT DISTINCT j AS k, {canon('substr(kmer, p, j)')} AS kmer FROM (SELECT kmer, j, unnest(range(1, k - j + 2)) AS p FROM (SELECT k, kmer, unnest(range(4, k + 1)) AS j FROM nod WHERE is_palindrome)))
 SELECT nod.k, nod.kmer, coverage FROM nod SEMI JOIN sub USING (k, kmer)""")
 def deep_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,7 +308,8 @@ def deep_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain.deep_mark(nodes, nodes.where("is_palindrome"), 4).select("k", "kmer", "coverage")
 
 
-@query()
+@query(f"""WITH RECURSIVE {nodes_sql(4, 8, REFS)}, {PARENTS}, met(k, kmer) AS (SELECT k, kmer FROM nod WHERE k = 8 UNION SELECT up.k, up.kmer FROM met JOIN par ON par.k = met.k AND par.kmer = met.kmer JOIN nod up ON up.k = par.k - 1 AND up.kmer = parent
+WHERE met.k > 2 AND pow((up.coverage - par.coverage)::DOUBLE / greatest(up.coverage, par.coverage, 1), 2) < 0.01) SELECT k, kmer, coverage FROM nod SEMI JOIN met USING (k, kmer)""")
 def deep_marked_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = ref_nodes(spark, sf_dir, 4, 8)
     return maintain.deep_mark_close(nodes, nodes.where("k = 8"), 0.01).select("k", "kmer", "coverage")
@@ -395,28 +422,33 @@ def node_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.adjacency(_graph(spark, sf_dir), 9).select("src", "dst", F.round("strength", 9).alias("strength"))
 
 
-@query(f"""WITH RECURSIVE {nodes_sql(9, 11, REFS)}, {cleaned_sql(9)}, {ADJACENCY}, heads AS (SELECT k AS top, kmer AS head, id FROM ids WHERE is_palindrome),
+GROUPED = f"""{nodes_sql(9, 11, REFS)}, {cleaned_sql(9)}, {ADJACENCY}, heads AS (SELECT k AS top, kmer AS head, id FROM ids WHERE is_palindrome),
 own AS (SELECT id, (arg_min(head_id, [-top, 0]))::VARCHAR AS pal FROM (SELECT lpad(j::VARCHAR, 3, '0') || ':' || {canon('substr(head, p, j)')} AS id, top, lpad(top::VARCHAR, 3, '0') || ':' || head AS head_id
   FROM (SELECT *, unnest(range(1, top - j + 2)) AS p FROM (SELECT *, unnest(range(9, top + 1)) AS j FROM heads))) GROUP BY id),
 free AS (SELECT id FROM ids WHERE id NOT IN (SELECT id FROM own)),
-near AS MATERIALIZED (SELECT src, dst FROM adj WHERE strength <= 0.05 AND src IN (FROM free) AND dst IN (FROM free)),
+near AS MATERIALIZED (SELECT src, dst, strength FROM adj WHERE strength <= 0.05 AND src IN (FROM free) AND dst IN (FROM free)),
 sym AS MATERIALIZED (SELECT src, dst FROM near UNION SELECT dst, src FROM near),
 cc(id, comp) USING KEY (id) AS (SELECT id, id FROM free UNION
-  SELECT s.dst, min(cc.comp) FROM cc JOIN sym s ON s.src = cc.id JOIN recurring.cc AS r ON r.id = s.dst WHERE cc.comp < r.comp GROUP BY s.dst)
-SELECT ids.k, ids.kmer, ids.coverage, coalesce(own.pal, cc.comp) AS group_id, own.pal IS NOT NULL AS has_palindrome FROM ids LEFT JOIN own USING (id) LEFT JOIN cc USING (id)""")
+  SELECT s.dst, min(cc.comp) FROM cc JOIN sym s ON s.src = cc.id JOIN recurring.cc AS r ON r.id = s.dst WHERE cc.comp < r.comp GROUP BY s.dst),
+clu AS MATERIALIZED (SELECT ids.id, ids.k, ids.kmer, ids.coverage, coalesce(own.pal, cc.comp) AS group_id, own.pal IS NOT NULL AS has_palindrome FROM ids LEFT JOIN own USING (id) LEFT JOIN cc USING (id))"""
+
+
+@query(f"WITH RECURSIVE {GROUPED} SELECT k, kmer, coverage, group_id, has_palindrome FROM clu")
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.clusters(_graph(spark, sf_dir), 9).select("k", "kmer", "coverage", "group_id", "has_palindrome")
 
 
-@query()
+@query(f"""WITH RECURSIVE {GROUPED}, ties AS (SELECT cc.comp AS group_id, max(near.strength) AS strength FROM near JOIN cc ON cc.id = near.src GROUP BY 1)
+SELECT group_id, count(*) AS num_nodes, sum(coverage)::BIGINT AS mass, round(coalesce(max(ties.strength), 0), 9) AS strength, first(kmer ORDER BY k DESC, kmer) AS endpoint FROM clu LEFT JOIN ties USING (group_id) GROUP BY group_id""")
 def cluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.cluster_stats(cluster.clusters(_graph(spark, sf_dir), 9))
+    return cluster.cluster_stats(cluster.clusters(_graph(spark, sf_dir), 9)).withColumn("strength", F.round("strength", 9))
 
 
-@query()
+@query(f"""WITH RECURSIVE {GROUPED} SELECT least(x.group_id, y.group_id) AS g1, greatest(x.group_id, y.group_id) AS g2, round(min(adj.strength), 9) AS link_strength
+FROM adj JOIN clu x ON x.id = adj.src JOIN clu y ON y.id = adj.dst WHERE x.group_id <> y.group_id GROUP BY 1, 2""")
 def cluster_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _graph(spark, sf_dir)
-    return cluster.cluster_adjacency(nodes, stage(cluster.clusters(nodes, 9), "clusters"), 9)
+    return cluster.cluster_adjacency(nodes, stage(cluster.clusters(nodes, 9), "clusters"), 9).withColumn("link_strength", F.round("link_strength", 9))
 
 
 @query()
@@ -430,7 +462,16 @@ def merged_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.contigs(cluster.merge_groups(nodes, groups, 9), 9)
 
 
-@query()
+@query(f"""WITH RECURSIVE {nodes_sql(15, 16, REFS)}, lv AS (SELECT * FROM nod WHERE k = 15),
+st AS MATERIALIZED (SELECT kmer, kmer AS w, edges >> 4 AS ahead, edges & 15 AS back, is_palindrome FROM lv UNION ALL SELECT kmer, {rc('kmer')}, edges & 15, edges >> 4, is_palindrome FROM lv WHERE NOT is_palindrome),
+lk AS MATERIALIZED (SELECT a.w AS wa, b.w AS wb, b.kmer AS next FROM st a JOIN st b ON right(a.w, 14) = left(b.w, 14) WHERE bit_count(a.ahead) = 1 AND bit_count(b.back) = 1 AND NOT a.is_palindrome AND NOT b.is_palindrome
+  AND a.ahead = (8 >> (instr('ACGT', right(b.w, 1)) - 1)::INT) AND a.kmer <> b.kmer),
+line(s, w, seq, seen) AS (SELECT w, w, w, [kmer] FROM st WHERE w NOT IN (SELECT wb FROM lk) UNION ALL SELECT s, wb, seq || right(wb, 1), list_append(seen, next) FROM line JOIN lk ON wa = w WHERE NOT list_contains(seen, next)),
+lines AS MATERIALIZED (SELECT s, arg_max(seq, len(seen)) AS seq, arg_max(seen, len(seen)) AS seen FROM line GROUP BY s),
+ring(s, w, seq, seen) AS (SELECT kmer, kmer, kmer, [kmer] FROM lv WHERE kmer NOT IN (SELECT unnest(seen) FROM lines) UNION ALL SELECT s, wb, seq || right(wb, 1), list_append(seen, next) FROM ring JOIN lk ON wa = w WHERE NOT list_contains(seen, next)),
+rings AS (SELECT * FROM (SELECT s, arg_max(seq, len(seen)) AS seq, arg_max(seen, len(seen)) AS seen FROM ring GROUP BY s) WHERE s = list_min(seen)),
+every AS (SELECT DISTINCT {canon('seq')} AS seq, list_sort(seen) AS seen FROM (SELECT seq, seen FROM lines UNION ALL SELECT seq, seen FROM rings))
+SELECT seq, length(seq) AS length, len(seen)::BIGINT AS n_nodes, (SELECT sum(coverage)::BIGINT FROM lv WHERE list_contains(seen, lv.kmer)) AS coverage FROM every""")
 def unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.unitigs(ref_nodes(spark, sf_dir, 15, 16), 15)
 
@@ -441,7 +482,9 @@ def maxcov_contig(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.max_coverage_contigs(nodes, nodes.where("k = 12").select(F.col("kmer").alias("seq")), 9)
 
 
-@query()
+@query(f"""WITH RECURSIVE {nodes_sql(9, 11, REFS)}, {cleaned_sql(9)}, {ADJACENCY},
+sym AS MATERIALIZED (SELECT src, dst FROM adj WHERE strength <= 0.05 UNION SELECT dst, src FROM adj WHERE strength <= 0.05),
+met(node) AS (SELECT * FROM (SELECT id FROM ids ORDER BY k, kmer LIMIT 1) UNION SELECT dst FROM met JOIN sym ON src = node) SELECT node FROM met""")
 def reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _graph(spark, sf_dir)
     start = nodes.orderBy("k", "kmer").limit(1).select(cluster.node_id().alias("node"))
@@ -456,21 +499,54 @@ def surface_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.surface_seeds(ref_nodes(spark, sf_dir, 4, 8), 20).select("k", "kmer", "coverage", "off")
 
 
-@query()
+HOOKS = """bins AS (SELECT k, (length(bin(coverage)) - 1)::BIGINT AS bin, count(*) AS n FROM cnt GROUP BY ALL),
+hook AS (SELECT k, coalesce((SELECT bin FROM bins b WHERE b.k = a.k AND bin >= 1 ORDER BY (length(bin(n)) - 1) * bin DESC, bin LIMIT 1), 0) AS hook FROM (SELECT DISTINCT k FROM bins) a)"""
+
+
+@query(f"""WITH {nodes_sql(4, 8, REFS)}, {CHILDREN}, {HOOKS}, near AS (SELECT chi.k, chi.kmer, dir FROM chi JOIN nod USING (k, kmer) WHERE pow((coverage - child_coverage)::DOUBLE / greatest(coverage, child_coverage, 1), 2) < 0.0025
+GROUP BY ALL HAVING count(*) > 1) SELECT nod.k, kmer, coverage FROM nod JOIN hook ON hook.k = nod.k WHERE length(bin(coverage)) - 1 = hook AND NOT EXISTS (SELECT 1 FROM near WHERE near.k = nod.k AND near.kmer = nod.kmer)
+ORDER BY nod.k DESC, kmer LIMIT 20""")
 def unambiguous_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.unambiguous_seeds(ref_nodes(spark, sf_dir, 4, 8), 0.0025, 20).select("k", "kmer", "coverage")
 
 
-@query()
+@query(f"""WITH {nodes_sql(4, 8, REFS)}, sub AS (SELECT DISTINCT j AS k, {canon('substr(kmer, p, j)')} AS kmer FROM (SELECT kmer, j, unnest(range(1, k - j + 2)) AS p FROM (SELECT k, kmer, unnest(range(4, k + 1)) AS j FROM nod WHERE k = 8 AND coverage > 1)))
+SELECT k, kmer, coverage FROM nod ANTI JOIN sub USING (k, kmer) ORDER BY k DESC, kmer LIMIT 20""")
 def next_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = ref_nodes(spark, sf_dir, 4, 8)
     return seeds.next_seeds(nodes, nodes.where("k = 8 AND coverage > 1"), 20).select("k", "kmer", "coverage")
 
 
-@query()
+def steady_sql(name: str, start: str) -> str:
+    """A recursive table (seed, w, used, grown, covs) that takes the only close next k-mer, if unused."""
+    ways = f"SELECT seed, w, used, grown, covs, substr(w, 2) || c AS next, {canon('substr(w, 2) || c')} AS kmer FROM {name}, (SELECT unnest(['A', 'C', 'G', 'T']) AS c)"
+    close = f"SELECT x.*, b.coverage, count(*) OVER (PARTITION BY seed) AS n FROM ({ways}) x JOIN cnt a ON a.kmer = {canon('x.w')} JOIN cnt b ON b.kmer = x.kmer WHERE pow((a.coverage - b.coverage)::DOUBLE / greatest(a.coverage, b.coverage, 1), 2) < 0.3"
+    return f"""{name}(seed, w, used, grown, covs) AS ({start} UNION ALL SELECT seed, next, list_append(used, kmer), grown || right(next, 1), list_append(covs, coverage) FROM ({close}) WHERE n = 1 AND NOT list_contains(used, kmer)),
+{name}_end AS MATERIALIZED (SELECT seed, max_by(used, len(used)) AS used, max_by(grown, len(used)) AS grown, max_by(covs, len(used)) AS covs FROM {name} GROUP BY seed)"""
+
+
+@query(f"""WITH RECURSIVE {counts_sql(16, 16, REFS)}, {steady_sql("fore", "SELECT kmer, kmer, [kmer], '', []::BIGINT[] FROM cnt")},
+{steady_sql("hind", f"SELECT seed, {rc('seed')}, used, '', []::BIGINT[] FROM fore_end")},
+whole AS (SELECT h.seed, {rc('h.grown')} || h.seed || f.grown AS seq, list_concat(list_concat(h.covs, f.covs), list_resize([]::BIGINT[], 16, cnt.coverage)) AS covs FROM hind_end h JOIN fore_end f ON f.seed = h.seed JOIN cnt ON cnt.kmer = h.seed)
+SELECT seed, seq, length(seq) AS length, round(list_avg(covs), 6) AS average, round(list_stddev_pop(covs), 6) AS deviation, length(seq) >= 500 AS is_long FROM whole WHERE length(seq) > 150""")
 def steady_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = ref_nodes(spark, sf_dir, 16, 16)
-    return seeds.steady_contigs(nodes, nodes.select(F.col("kmer").alias("seq")), 0.3)
+    out = seeds.steady_contigs(nodes, nodes.select(F.col("kmer").alias("seq")), 0.3)
+    return out.withColumn("average", F.round("average", 6)).withColumn("deviation", F.round("deviation", 6))
+
+
+@query()
+def extracted_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seeds.extract_all(ref_nodes(spark, sf_dir, 7, 15))
+
+
+@query(f"""WITH {counts_sql(5, 9, REFS)}, seen AS MATERIALIZED (SELECT read_id, k, p, {canon('substr(seq, p, k)')} AS kmer FROM (SELECT *, unnest(range(1, length(seq) - k + 2)) AS p FROM reads, (SELECT unnest([5, 7, 9]) AS k) WHERE length(seq) >= k)),
+gap AS MATERIALIZED (SELECT seen.* FROM seen WHERE NOT EXISTS (SELECT 1 FROM cnt WHERE cnt.k = seen.k AND cnt.kmer = seen.kmer AND coverage > 1))
+SELECT read_id, k::BIGINT AS k, p - 1 AS pos, kmer FROM seen WHERE NOT EXISTS (SELECT 1 FROM gap WHERE gap.read_id = seen.read_id AND gap.p >= seen.p AND gap.p + gap.k <= seen.p + seen.k)""")
+def visit_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = X.reference_reads(spark, sf_dir)
+    nodes = stage(kmers.count_kmers(rows, 5, 9), "counts").where("coverage > 1")
+    return visits.unbroken_windows(rows, [5, 7, 9], nodes).select("read_id", F.col("k").cast("long"), F.col("pos").cast("long"), "kmer")
 
 
 @query()

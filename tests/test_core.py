@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from helixframe.functions import seq as S
-from helixframe.operators import cluster, components, kmers, links, maintain, reads, stats, walks
+from helixframe.operators import cluster, components, kmers, links, maintain, reads, seeds, stats, visits, walks
 from helixframe.plans.graph import KmerGraph, Phases, assemble
 from helixframe.sources import fastx, graphs
 from tests import model
@@ -93,6 +93,70 @@ def test_components_of_a_long_chain(spark):
     assert components.connected_components(edges.limit(0)).count() == 0
 
 
+def test_components_of_small_and_large_graphs_agree(spark):
+    r = random.Random(4)
+    pairs = [(f"n{r.randrange(60):02d}", f"n{r.randrange(60):02d}") for _ in range(45)] + [(None, "n01"), ("é", "z")]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    small, large = (sorted(map(tuple, components.connected_components(edges, small_edges=n).collect())) for n in (10**6, 0))
+    assert small == large and ("é", "z") in small
+
+
+def test_walks_equal_the_model():
+    r = random.Random(5)
+    for _ in range(300):
+        genome = "".join(r.choice("ACGT") for _ in range(r.randrange(15, 50)))
+        low = r.randrange(3, 6)
+        counts = model.count([genome[i : i + r.randrange(6, 20)] for i in (r.randrange(0, 10) for _ in range(4))], low, low + 3)
+        edges = model.extensions(counts)
+        nodes = {x: (counts[k, x], model.mask(*edges[k, x])) for k, x in counts if r.random() < 0.9}
+        for x in list(nodes)[:5]:
+            for w in (x, model.rc(x)):
+                n, path = model.walk(w, nodes, low)
+                assert walks.walk(w, nodes, low) == (n, path[-1])
+
+
+def test_choice_callback():
+    nodes = {model.canon(x): (1, 255) for x in ("AAC", "AACA", "AACG", "ACGT", "CATT")}
+    asked = []
+    far = walks.walk("AAC", nodes, 3, choose=lambda options, at: asked.append((options, at)) or options[-1])
+    assert asked[0] == (["A", "G"], "AAC") and far != walks.walk("AAC", nodes, 3)
+
+
+def test_contigs_equal_the_model(spark):
+    seqs = some_reads(13, n=7, size=30)
+    nodes = maintain.clean(kmers.build_nodes(make(spark, seqs), 6, 8), 6).cache()
+    groups = cluster.clusters(nodes, 6).cache()
+    info = {r.kmer: (r.coverage, r.edges) for r in nodes.collect()}
+    parts = {}
+    for r in groups.collect():
+        parts.setdefault((r.group_id, r.strength), {})[r.kmer] = info[r.kmer]
+    want = []
+    for (_, strength), part in parts.items():
+        for g, start in model.settled(part, strength, 6):
+            if start:
+                length, path = model.walk(start, g, 6)
+                want.append((min(f"{len(x):03d}:{x}" for x in g), abs(length)))
+    got = {(r.group_id, r.length) for r in cluster.contigs(cluster.settled_groups(groups, 6), 6).collect()}
+    assert set(want) <= got and len({g for g, _ in got}) == len(got)
+
+
+def test_extraction_marks_every_node_once(spark):
+    seqs = some_reads(15, n=10, size=40)
+    rows = seeds.extract_all(kmers.build_nodes(make(spark, seqs), 7, 12), 7).collect()
+    counts = model.count(seqs, 7, 12)
+    covered = {model.canon(r.seq[i : i + k]) for r in rows for k in range(7, 13) for i in range(len(r.seq) - k + 1)}
+    assert {x for _, x in counts} <= covered and len({r.seq for r in rows}) == len(rows)
+    alone = "ACGGTCATTGCAAGT"  # one read, no fork: one contig, whatever k is
+    assert [r.seq for r in seeds.extract_all(kmers.build_nodes(make(spark, [alone]), 7, 9), 7).collect()] == [model.canon(alone)]
+
+
+def test_unbroken_windows(spark):
+    nodes = spark.createDataFrame([(3, "ACG"), (3, "CCG"), (3, model.canon("GGT")), (4, "ACGG"), (5, model.canon("ACGGT")), (4, model.canon("CGGT"))], "k long, kmer string")
+    got = {(r.k, r.pos) for r in visits.unbroken_windows(make(spark, ["ACGGTT"]), [3, 4, 5], nodes).collect()}
+    assert got == {(3, 0), (3, 1), (3, 2), (4, 0), (4, 1), (5, 0)}
+    assert {r.k for r in visits.unbroken_windows(make(spark, ["ACGGTT"]), [3, 4, 5], nodes.where("kmer != 'CCG'")).collect()} == {3}
+
+
 def test_links(spark):
     nodes = kmers.build_nodes(make(spark, some_reads(2)), 2, 6).cache()
     counts = as_counts(nodes)

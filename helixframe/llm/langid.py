@@ -26,11 +26,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, bucket
+from .common import arrow_rows, bucket, smallest_by_hash
 
 DIMS = 1 << 15
 BATCH = 128
@@ -92,10 +91,12 @@ def fit(rows: list[tuple[str, str]], landmarks: int = 192, ridge: float = 1e-2)
 
 def fit_languages(docs: DataFrame, per_lang: int = 400, max_rows: int = 3000, max_doc_bytes: int = 16384, snippet: int = 40) -> LanguageModel:
     """Learn from docs(doc_id, text, lang); see the module's docstring."""
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     allowed = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (bucket(n=4) != 2) & F.octet_length("text").between(1, max_doc_bytes))
-    ids = allowed.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).orderBy("n", "lang", "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"]).dropDuplicates(["doc_id"]).collect()  # at most max_rows
+    allowed = allowed.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    picked = smallest_by_hash(allowed, "lang", "doc_id", per_lang)
+    ids = sorted((n, lang, key) for lang, found in picked.items() for n, (_, key) in enumerate(found))[:max_rows]
+    chosen = docs.sparkSession.createDataFrame(ids, "n int, of string, chosen long")
+    rows = allowed.join(F.broadcast(chosen), (F.col("doc_id") == F.col("chosen")) & (F.col("lang") == F.col("of"))).dropDuplicates(["doc_id"]).collect()  # at most max_rows
     rows.sort(key=lambda r: (r.n, r.lang, r.doc_id))
     texts = [(r.text, r.lang) for r in rows if LETTER.search(r.text)]
     return fit(texts + [(t[:snippet], lang) for t, lang in texts if LETTER.search(t[:snippet])])

@@ -24,11 +24,10 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, bucket
+from .common import arrow_rows, bucket, smallest_by_hash
 
 BLOCK = 2048
 LEVEL = 3
@@ -102,17 +101,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 0.1
 
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_doc_bytes: int = 32768, dictionary_bytes: int = 65536) -> QualityModel:
     """Learn from labels(doc_id, quality) outside fold 0 of 5; see the module's docstring."""
-    order = W.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (bucket() != 0))
-        .groupBy("doc_id").agg(F.min("quality").alias("quality"))
-        .withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_class)
-        .select("doc_id", "quality", "n")
-    )
-    rows = (
-        docs.select("doc_id", "text").where(F.octet_length("text").between(1, max_doc_bytes))
-        .join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
-    )  # fmt: skip  at most 2 * per_class rows
+    allowed = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (bucket() != 0))
+    once = allowed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    picked = smallest_by_hash(once, "quality", "doc_id", per_class)
+    chosen = docs.sparkSession.createDataFrame([(key, q, n) for q, found in picked.items() for n, (_, key) in enumerate(found)], "chosen long, quality int, n int")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text").between(1, max_doc_bytes))
+    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen")).dropDuplicates(["doc_id"]).collect()  # at most 2 * per_class
     rows.sort(key=lambda r: r.n)
     of = {q: [r.text for r in rows if r.quality == q] for q in (0, 1)}
     if min(map(len, of.values())) < 2:

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -97,6 +98,42 @@ def test_op2_bisection():
     assert abs(-(p * np.log(p)).sum() - 0.9) < 1e-6
 
 
+def mixed_key(epoch, doc_id):
+    """A pass orders blocks (three digits of a document's hash), and a block its documents."""
+    h = hashlib.md5(f"mix-{doc_id}".encode()).hexdigest()
+    return hashlib.md5(f"mix-{epoch}-{h[:3]}".encode()).hexdigest()[:12] + "-" + h
+
+
+@pytest.mark.parametrize("options", [{"budget": 3000}, {"budget": 20_000, "max_repeats": 2.0}, {"target_entropy": 0.9}, {"budget": 777, "target_entropy": 1.05}])
+def test_op2_matches_brute_force_with_budget_and_entropy(spark, options):
+    r = random.Random(6)
+    rows = [(i, sentence(r, r.randrange(0, 30)), "en", ["big", "mid", "low"][0 if i < 300 else 1 if i < 380 else 2], 0) for i in range(420)]
+    tokens, of = Counter(), {}
+    for i, text, _, source, _ in rows:
+        tokens[source] += len(words(text))
+        of.setdefault(source, []).append((i, len(words(text))))
+    t = mixing.bisect_exponent(list(tokens.values()), options.get("max_repeats", 4.0), options.get("target_entropy"), options.get("budget"))
+    parts = {s: (n / max(tokens.values())) ** t for s, n in tokens.items()}
+    whole = options.get("budget", max(tokens.values()) * sum(parts.values()))
+    want = set()
+    for s, docs in of.items():
+        passes = round(parts[s] / sum(parts.values()) * whole / tokens[s], 6)
+        rest, full = math.floor(round((passes - math.floor(passes)) * tokens[s], 3)), math.floor(passes)
+        want |= {(i, e) for i, _ in docs for e in range(full)}
+        for i, n in sorted(docs, key=lambda x: mixed_key(full, x[0])) if rest else ():
+            if n > rest:
+                break
+            rest -= n
+            want.add((i, full))
+    got = mixing.mix_sources(spark.createDataFrame(rows, DOCS), **options).select("doc_id", "epoch").collect()
+    assert len(got) == len(want) and {tuple(x) for x in got} == want
+
+
+def test_op2_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 5, 6, 7, 8)], "doc_id long, text string, source string, passes int, last_key int, __source int, `of` int")
+    assert tuple(mixing.mix_sources(df).select("passes", "last_key", "__source", "of").first()) == (5, 6, 7, 8)
+
+
 def test_op2_passes_and_permutations(spark):
     r = random.Random(3)
     rows = [(i, sentence(r, 1 + i % 9), "en", ["big", "mid", None][0 if i < 600 else 1 if i < 700 else 2], 0) for i in range(730)]
@@ -109,7 +146,7 @@ def test_op2_passes_and_permutations(spark):
     for x in out:
         taken[x.source] += x.n_tokens
         times[x.doc_id] += 1
-        assert x.order_key == hashlib.md5(f"mix-{x.epoch}-{x.doc_id}".encode()).hexdigest() and x.order_key.startswith(x.block)
+        assert x.order_key == mixed_key(x.epoch, x.doc_id) and x.block == x.order_key[13:16]
     assert min(times.values()) >= 1 and len(times) == 730 and max(times.values()) <= 4
     t = mixing.bisect_exponent(list(size.values()), 3.0)
     for s, n in size.items():
@@ -117,7 +154,7 @@ def test_op2_passes_and_permutations(spark):
         assert want - 9 <= taken[s] <= want + 1
     partial = [x for x in out if x.source == "mid"]
     last = max(x.epoch for x in partial)
-    keys = sorted(hashlib.md5(f"mix-{last}-{i}".encode()).hexdigest() for i in range(600, 700))
+    keys = sorted(mixed_key(last, i) for i in range(600, 700))
     got = sorted(x.order_key for x in partial if x.epoch == last)
     assert got == keys[: len(got)]
 

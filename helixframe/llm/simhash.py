@@ -7,11 +7,14 @@ Two entry points share the machinery:
   10 pairs of pieces are keys of 25 or 26 bits that miss nothing.
 * ``near_duplicates``: documents whose sets of ``words``-word shingles have a Jaccard similarity of at
   least ``similarity`` are linked.  Its fingerprints are of the shingle sets too, so repeats don't move
-  them.  At 0.8 they differ in about 10 bits, too many for pieces, so the blocks are shared smallest
-  shingles under 8 hash functions (a pair at 0.8 shares none of them with probability 3e-6), the
-  bit-sliced comparison runs with radius 28, and every link is then decided on the exact shingle sets.
-  The radius loses a calculated 1e-6 of pairs at 0.8 in the worst case (sets of 4 and 5 shingles, a bit
-  differs with probability 0.1875) and under 1e-8 of long ones; a lower similarity needs a wider one.
+  them.  At 0.8 they differ in about 10 bits, too many for pieces, so the blocks are shared triples of
+  smallest shingles: 18 triples, of which a pair at 0.8 shares none with probability 2.5e-6, a pair at 0.3
+  one with 0.39, a pair at 0.1 one with 0.02.  The bit-sliced comparison runs inside blocks with radius 28;
+  that loses a calculated 1e-6 of pairs at 0.8 in the worst case (sets of 4 and 5 shingles, a bit differs
+  with probability 0.1875) and under 1e-8 of long ones; a lower similarity needs a wider one.  Then every
+  link is decided on the exact shingle sets, inside the block that proposes it, and only links so verified
+  make groups: loose candidates never chain.  The first two triples find nearly all of a group; the other
+  sixteen then compare only what stands in a block with rows of another group.
 
 Inside a block rows are held as vertical bit planes of 64 lanes; distances to all lanes are updated with
 carry-save counters and lanes leave once they exceed the radius.  A block emits a tree for each group
@@ -43,7 +46,11 @@ SEED = 42
 CUTS = (0, 13, 26, 39, 52, 64)
 PIECES = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in itertools.pairwise(CUTS)]
 MASKS = [a | b for a, b in itertools.combinations(PIECES, 2)]
-SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2127599BF4325C37, 0x880355F21E6D1965], dtype=np.uint64)
+#: Triples of smallest shingles, and how many of them are tried first.
+BANDS, WIDTH, FIRST = 18, 3, 2
+#: Odd and unrelated: multiples of one constant give minima that depend on each other and lose a thousandth of pairs.
+SALTS = np.array([xxhash.xxh3_64_intdigest(f"salt {i}") | 1 for i in range(BANDS * WIDTH)], dtype=np.uint64)
+MIX = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 EMPTY_SHINGLES = np.zeros(0, dtype=np.uint64)
 
 
@@ -87,21 +94,31 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
+def band_keys(u: np.ndarray) -> np.ndarray:
+    """A hash of each triple of smallest values of u under three hash functions; none for an empty set."""
+    if not len(u):
+        return np.zeros(0, dtype=np.int64)
+    least = np.full(len(SALTS), np.uint64(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(u), 2048):  # bounds the table of a very long text
+        least = np.minimum(least, (u[None, at : at + 2048] * SALTS[:, None]).min(axis=1))
+    return (least.reshape(BANDS, WIDTH) * MIX[None, :]).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp, same, mins): the shingle set's fingerprint and smallest shingles under 8 hashes; same identifies the set."""
+    """(doc_id, fp, same, keys): the shingle set's fingerprint and band keys; same identifies the set."""
 
     def run(batches):
         for b in batches:
-            fps, same, mins = [], [], []
+            fps, same, keys = [], [], []
             for t in b.column("text").to_pylist():
                 u = np.unique(shingle_hashes(t, words))
                 fps.append(_signed(fingerprint(u)))
                 same.append(xxhash.xxh3_128_digest(u.tobytes()))
-                mins.append((u[None, :] * SALTS[:, None]).min(axis=1).view(np.int64).tolist() if 0 < len(u) <= 4096 else [_signed(int((u * s).min())) for s in SALTS] if len(u) else [])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64()), pa.array(same, pa.binary()), pa.array(mins, pa.list_(pa.int64()))], ["doc_id", "fp", "same", "mins"])
+                keys.append(band_keys(u))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "same", "keys"])
 
     arrow_rows(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, same binary, mins array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, same binary, keys array<long>")
 
 
 def bit_sliced_pairs(fp: np.ndarray, last: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -260,39 +277,63 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3) -> Data
     return fps.join(named, F.col("fp") == F.col("of"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _verify(similarity: float, radius: int):
-    names = ["component", "ci", "cj"]
+BLOCK = ["t", "key", "ci", "cj"]
+
+
+def candidates(rows: DataFrame, radius: int, chunk: int) -> DataFrame:
+    """Of rows(t, key, fp, node) those with another node's fingerprint within radius in their block."""
+
+    def run(batches):
+        for t in _runs(batches, BLOCK):
+            a, b = bit_sliced_pairs(t.column("fp").to_numpy().view(np.uint64), _group_ends(t, BLOCK), radius)
+            met = pa.array(np.unique(np.concatenate([a, b])))
+            if len(met):
+                yield t.take(met).combine_chunks().to_batches()[0].select(["t", "key", "fp", "node"])
+
+    spread = _in_chunks(rows, ["t", "key"], "node", chunk).repartition(*BLOCK).sortWithinPartitions(*BLOCK).select(*BLOCK, "fp", "node")
+    return spread.mapInArrow(run, "t int, key long, fp long, node long")
+
+
+def verified_edges(rows: DataFrame, sets: DataFrame, similarity: float, radius: int, chunk: int) -> DataFrame:
+    """rows(t, key, fp, node, grp), sets(node, shingles) -> (src, dst): exact links between rows of a block, trees over each group found.
+
+    Nodes that share grp are linked already and not compared.
+    """
 
     def run(batches):
-        for t in _runs(batches, names, 2048):
+        for t in _runs(batches, BLOCK, 2048):
             node, fp = t.column("node").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
+            ends = _group_ends(t, BLOCK)
             sets = [np.asarray(x.values.to_numpy()).view(np.uint64) for x in t.column("shingles")]
-            a, b = bit_sliced_pairs(fp, _group_ends(t, names), radius)
-            order = np.argsort(np.bitwise_count(fp[a] ^ fp[b]), kind="stable")
-            root = list(range(len(node)))
+            a, b = bit_sliced_pairs(fp, ends, radius)
+            known = np.unique(np.stack([ends, t.column("grp").to_numpy()]), axis=1, return_inverse=True)[1].ravel()
+            group = np.unique(known, return_index=True)[1][known].tolist()  # the first row of the block in the same group
 
             def find(x: int) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
+                while group[x] != x:
+                    group[x] = group[group[x]]
+                    x = group[x]
                 return x
 
             src, dst = [], []
+            order = np.argsort(np.bitwise_count(fp[a] ^ fp[b]), kind="stable")
             for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
                 if (p := find(x)) == (q := find(y)):
-                    continue  # already in one group
+                    continue
                 small, large = sorted((len(sets[x]), len(sets[y])))
                 if small < similarity * large:
                     continue
                 both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
                 if both >= similarity * (small + large - both):
-                    root[max(p, q)] = min(p, q)
+                    group[max(p, q)] = min(p, q)
                     src.append(node[x])
                     dst.append(node[y])
             if src:
                 yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
-    return run
+    several = stage(rows.groupBy("t", "key").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low != high").select("t", "key"), "open-blocks")
+    spread = _in_chunks(rows.join(several, ["t", "key"], "left_semi"), ["t", "key"], "node", chunk).join(sets, "node")
+    return spread.repartition(*BLOCK).sortWithinPartitions(*BLOCK).select(*BLOCK, "fp", "node", "grp", "shingles").mapInArrow(run, "src long, dst long")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -315,16 +356,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ch
     Rows with equal shingle sets are collapsed first, so copies cost nothing beyond their sketch.
     """
     found = stage(sketches(docs, words), "sketches")
-    nodes = stage(found.groupBy("same").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.min("mins").alias("mins")).where("node IS NOT NULL"), "set-nodes")
-    rows = nodes.select("fp", "node", F.posexplode("mins").alias("t", "key"))
-    coarse = connected_components(block_edges(rows, radius))
-    wanted = coarse.join(nodes.select("node", "fp"), "node")
+    nodes = stage(found.groupBy("same").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.min("keys").alias("keys")).where("node IS NOT NULL"), "set-nodes")
+    rows = stage(candidates(nodes.select("fp", "node", F.posexplode("keys").alias("t", "key")), radius, 4 * chunk).distinct(), "candidates")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")  # a repeated row meets itself only, which is no link
-    members = shingle_sets(wanted.join(texts, "node"), words)
-    names = ["component", "ci", "cj"]
-    spread = _in_chunks(members, ["component"], "node", chunk)
+    sets = stage(shingle_sets(texts.join(rows.select("node").distinct(), "node", "left_semi"), words), "shingle-sets")
     arrow_rows(docs.sparkSession, 256)
-    edges = spread.repartition(*names).sortWithinPartitions(*names).select(*names, "fp", "node", "shingles").mapInArrow(_verify(similarity, radius), "src long, dst long")
-    groups = connected_components(edges)
+    first = stage(verified_edges(rows.where(F.col("t") < FIRST).withColumn("grp", F.col("node")), sets, similarity, radius, chunk), "first-links")
+    groups = connected_components(first)
+    late = rows.where(F.col("t") >= FIRST).join(groups, "node", "left").withColumn("grp", F.coalesce("component", "node")).drop("component")
+    groups = connected_components(first.union(verified_edges(late, sets, similarity, radius, chunk)))
     named = nodes.join(groups, "node", "left").select(F.col("same").alias("of"), F.coalesce("component", "node").alias("group_id"))
     return found.join(named, F.col("same") == F.col("of"), "left").select("doc_id", "group_id")

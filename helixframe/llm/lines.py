@@ -1,8 +1,11 @@
 """Operator 8, line dedup: levelled sorted runs of line hashes, compacted periodically.
 
-``LineRuns`` keeps the corpus' line keys as sorted runs (h1, h2, n_docs, max_doc): a batch becomes a run
-of level 0; ``fanout`` runs of a level are merged into one of the next, so a key is rewritten only as
-often as there are levels.  A batch is compared with the runs by a merge anti-join on the hashes.
+``LineRuns`` keeps the corpus' line keys as runs (h1, h2, n_docs, max_doc), tables bucketed and sorted by
+(h1, h2).  A batch is merge-anti-joined with the runs: the keys that none of them holds become a run of
+level 0, so a key is in one run only; ``fanout`` runs of a level are compacted into one of the next, so a
+key is rewritten only as often as there are levels.  Keys that a run holds already stay behind in the
+batch and are added to its counts in the end.  Runs are joined in place, bucket by bucket: what is
+shuffled is each batch, once, pre-aggregated, and never a run.
 
 ``dedup_lines`` answers the corpus-wide question: keys of at least ``min_chars`` code points in at least
 ``min_docs`` documents lose their lines everywhere but in the largest doc_id.
@@ -13,7 +16,7 @@ by broadcast, the others by a shuffled join.
 
 Edge cases: null or empty text is one empty line; an empty table gives an empty result; two rows with
 one doc_id count as two documents and are edited alike; a row with a null doc_id counts, but is itself
-never edited; other columns pass through.
+never edited; other columns pass through, but n_lines and n_dropped are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, shared_dir, stage
+from .common import arrow_rows, free_names, stage, staged_path
 
 #: Fixed by the contract: what is stripped from both ends of a line.
 STRIP = b" \t\n\x0b\x0c\r"
@@ -59,32 +62,43 @@ def document_keys(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 class LineRuns:
-    """Sorted runs of line hashes in the shared folder, by level; see the module's docstring."""
+    """Sorted runs of line hashes in the shared folder, by level; see the module's docstring.
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
+    The runs are tables of the session's catalog whose files lie in the shared folder, with as many buckets
+    as spark.sql.shuffle.partitions has when the first one is written.
+    """
+
+    KEY = ("h1", "h2")
+
+    def __init__(self, spark: SparkSession, fanout: int = 3):
         self.spark, self.fanout = spark, fanout
         self.levels: list[list[DataFrame]] = []
-        self.path = f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}/runs-{uuid.uuid4().hex}"
-        self._written = 0
+        self.again: list[DataFrame] = []
+        self.name, self._written = f"line_runs_{uuid.uuid4().hex}", 0
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    @staticmethod
-    def _merged(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+    def _write(self, rows: DataFrame) -> DataFrame:
+        name, self._written = f"{self.name}_{self._written}", self._written + 1
+        rows.write.format("parquet").bucketBy(self.buckets, *self.KEY).sortBy(*self.KEY).option("path", staged_path(self.spark, name)).saveAsTable(name)
+        return self.spark.table(name)
 
     def add(self, keys: DataFrame) -> None:
-        """keys(h1, h2, doc_id), distinct within a document, become a run; full levels are compacted."""
-        self._put(0, self._merged(keys.select("h1", "h2", F.lit(1).cast("long").alias("n_docs"), F.col("doc_id").alias("max_doc"))))
-
-    def _put(self, level: int, rows: DataFrame) -> None:
+        """keys(h1, h2, doc_id), distinct within a document: those that are new become a run; full levels are compacted."""
+        batch = self._write(keys.groupBy(*self.KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc")))
+        if any(self.levels):
+            run = self._write(self.unseen(batch))
+            self.again.append(batch.join(run.hint("merge"), [*self.KEY], "left_anti"))
+            batch = run
+        self._put(0, batch)
+
+    def _put(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        path = f"{self.path}/level={level}/run={self._written}"
-        self._written += 1
-        rows.sortWithinPartitions("h1", "h2").write.parquet(path)
-        self.levels[level].append(self.spark.read.schema(rows.schema).parquet(path))
+        self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._put(level + 1, self._merged(self._union(full)))
+            merged = self._union(full).groupBy(*self.KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+            self._put(level + 1, self._write(merged))
 
     @staticmethod
     def _union(runs: list[DataFrame]) -> DataFrame:
@@ -98,13 +112,18 @@ class LineRuns:
         runs = [r for level in self.levels for r in level]
         if not runs:
             return self.spark.createDataFrame([], "h1 long, h2 long, n_docs long, max_doc long")
-        return runs[0] if len(runs) == 1 else self._merged(self._union(runs))
+        if not self.again:
+            return self._union(runs)
+        more = self._union(self.again).groupBy(*self.KEY).agg(F.sum("n_docs").alias("more_docs"), F.max("max_doc").alias("more_max"))
+        more = self._write(more)
+        both = [r.join(more.hint("merge"), [*self.KEY], "left") for r in runs]
+        return self._union([x.select(*self.KEY, (F.col("n_docs") + F.coalesce("more_docs", F.lit(0))).alias("n_docs"), F.greatest("max_doc", "more_max").alias("max_doc")) for x in both])
 
     def unseen(self, keys: DataFrame) -> DataFrame:
         """Rows of keys(h1, h2, ...) in no run: a merge anti-join with each run in turn."""
         for level in self.levels:
             for r in level:
-                keys = keys.join(r, ["h1", "h2"], "left_anti")
+                keys = keys.join(r.hint("merge"), [*self.KEY], "left_anti")
         return keys
 
     def dedup_batch(self, batch: DataFrame, min_chars: int = 20) -> DataFrame:
@@ -121,23 +140,25 @@ def without_lines(docs: DataFrame, drops: DataFrame, min_chars: int) -> DataFram
 
     One document's keys to drop are collected: no more than its lines.
     """
-    listed = drops.groupBy(F.col("doc_id").alias("__of")).agg(F.collect_list(F.struct("h1", "h2")).alias("__drop"))
-    joined = docs.join(listed, docs["doc_id"].cast("long") == F.col("__of"), "left").drop("__of")
-    schema = joined.drop("__drop", "n_lines", "n_dropped").schema.add("n_lines", "long").add("n_dropped", "long")
+    docs = docs.drop("n_lines", "n_dropped")
+    of, away = free_names(docs, "of", "away")
+    listed = drops.groupBy(F.col("doc_id").alias(of)).agg(F.collect_list(F.struct("h1", "h2")).alias(away))
+    joined = docs.join(listed, docs["doc_id"].cast("long") == F.col(of), "left").drop(of)
+    schema = joined.drop(away).schema.add("n_lines", "long").add("n_dropped", "long")
     names = [f.name for f in schema][:-2]
 
     def run(batches):
         for b in batches:
             texts, n, gone = [], [], []
-            for t, drop in zip(b.column("text").to_pylist(), b.column("__drop").to_pylist(), strict=True):
+            for t, drop in zip(b.column("text").to_pylist(), b.column(away).to_pylist(), strict=True):
                 if not drop:
                     texts.append(t)
                     n.append((t or "").count("\n") + 1)
                     gone.append(0)
                     continue
-                away = {d["h1"].to_bytes(8, "big", signed=True) + d["h2"].to_bytes(8, "big", signed=True) for d in drop}
+                gone_keys = {d["h1"].to_bytes(8, "big", signed=True) + d["h2"].to_bytes(8, "big", signed=True) for d in drop}
                 lines = t.split("\n")
-                keep = [line for line, k in zip(lines, line_keys(t, min_chars), strict=True) if k not in away]
+                keep = [line for line, k in zip(lines, line_keys(t, min_chars), strict=True) if k not in gone_keys]
                 texts.append("\n".join(keep))
                 n.append(len(lines))
                 gone.append(len(lines) - len(keep))
@@ -154,7 +175,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     The keys enter the runs in ``batches`` parts, by a hash of the document, which costs one scan of the texts.
     """
     keys = stage(document_keys(docs, min_chars), "line-keys")
-    runs = LineRuns(docs.sparkSession, fanout=batches)
+    runs = LineRuns(docs.sparkSession)
     for i in range(batches):
         runs.add(keys.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i))
     repeated = stage(runs.counts().where(F.col("n_docs") >= min_docs).select("h1", "h2", "n_docs", "max_doc"), "line-repeated")

@@ -1,7 +1,11 @@
 """Operator 10, PII: patterns find identifiers, corpus statistics find the terms that give them away.
 
-Base spans (email, ip, card, phone) follow the contract's patterns.  Each distinct value is a protected
-entity.  Information-theoretic sanitisation: with N documents, n(e) that mention entity e, n(t) that
+Base spans (email, ip, card, phone) follow the contract's patterns.  The method adds spans of kind secret:
+runs of ``SECRET`` characters with letters and digits whose characters carry ``SECRET_BITS`` bits each or
+more, as keys and tokens do and words don't.  Protected entities are classes, from the kind down: every
+kind, the domain of an email, the first half of an address, the issuer's digits of a card, what precedes
+the last seven digits of a phone number, and every single value.  Information-theoretic sanitisation:
+with N documents, n(e) that mention entity e, n(t) that
 hold term t and n(t, e) that hold t within ``window`` words of e, the term discloses
 log(n(t, e) N / (n(t) n(e))) of the entity's log(N / n(e)) bits.  Terms with a share of at least
 ``generalise`` and ``min_docs`` common documents are generalised, from ``remove`` on removed, wherever
@@ -11,6 +15,9 @@ Scale: pairs are counted in the tasks before they are shuffled; n(t) is counted
 n(t, e) alone.  Up to ``max_terms`` terms are sent to the tasks; beyond that terms meet the documents'
 words by shuffled joins on the term's hash.
 
+Terms of a whole kind give away that a secret is there, not which; terms of a narrow class or a value give
+away more.  Either is generalised or removed by the same thresholds.
+
 Edge cases: null text is empty and has no spans; candidates that fail a check (parts over 255, Luhn,
 digits) are dropped without a second try; terms that touch a base span are none; repeated rows count
 and are marked each; an empty table gives an empty result; other columns are ignored.
@@ -20,6 +27,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -41,7 +49,11 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W\d_]{4,}")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 NOT_DIGIT = re.compile(r"[^0-9]")
-PLACEHOLDER = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
+SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{24,}")
+SECRET_BITS = 3.0
+ADDED = ("secret", "term")
+ORDER = {kind: i for i, kind in enumerate((*KINDS, *ADDED))}
+PLACEHOLDER = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "secret": "[SECRET]"}
 
 
 def luhn(digits: str) -> bool:
@@ -85,11 +97,40 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
-def entity(kind: str, value: str) -> int:
-    """A protected value, as a signed 64-bit hash; never 0."""
-    normal = NOT_DIGIT.sub("", value) if kind in ("card", "phone") else value.lower()
-    h = xxhash.xxh3_64_intdigest(f"{kind}:{normal}") | 1
-    return h - (1 << 64) if h >> 63 else h
+def looks_random(value: str) -> bool:
+    """Letters and digits, at least four of each, at SECRET_BITS bits a character or more."""
+    digits = sum(c.isdigit() for c in value)
+    if digits < 4 or sum(c.isalpha() for c in value) < 4:
+        return False
+    n = len(value)
+    return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) >= SECRET_BITS
+
+
+def secret_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """(secret, start, end) of what looks random and touches no base span."""
+    found = [("secret", m.start(), m.end()) for m in SECRET.finditer(text) if looks_random(m[0])]
+    if not found or not base:
+        return found
+    covered = _union(base)
+    return [x for x in found if not _touches(covered, x[1], x[2])]
+
+
+def protected_spans(text: str | None) -> list[tuple[str, int, int]]:
+    """Base spans and secrets, by start and then kind."""
+    base = base_spans(text)
+    more = secret_spans(text, base) if text else []
+    return sorted(base + more, key=lambda x: (x[1], ORDER[x[0]], x[2])) if more else base
+
+
+def entities(kind: str, value: str) -> list[int]:
+    """The protected classes of a value, from its kind down to itself, as signed 64-bit hashes; never 0."""
+    normal = NOT_DIGIT.sub("", value) if kind in ("card", "phone") else value if kind == "secret" else value.lower()
+    part = {"email": normal.rpartition("@")[2], "ip": ".".join(normal.split(".")[:2]), "card": normal[:6], "phone": normal[:-7]}.get(kind)
+    out = []
+    for name in (kind, *([f"{kind}~{part}"] if part else []), f"{kind}:{normal}"):
+        h = xxhash.xxh3_64_intdigest(name) | 1
+        out.append(h - (1 << 64) if h >> 63 else h)
+    return out
 
 
 def term_hash(term: str) -> int:
@@ -98,13 +139,13 @@ def term_hash(term: str) -> int:
 
 
 def near_terms(text: str, spans: list[tuple[str, int, int]], window: int) -> dict[int, set[str]]:
-    """Entity -> lower-cased terms within window words of one of its mentions, outside all spans."""
+    """Protected class -> lower-cased terms within window words of one of its mentions, outside all spans."""
     words = [(m.start(), m.end()) for m in WORD.finditer(text)]
     covered = _union(spans)
     out: dict[int, set[str]] = {}
     first = 0
     for kind, s, e in spans:
-        terms = out.setdefault(entity(kind, text[s:e]), set())
+        own = [out.setdefault(c, set()) for c in entities(kind, text[s:e])]
         while first < len(words) and words[first][1] <= s:
             first += 1
         last = first
@@ -116,7 +157,8 @@ def near_terms(text: str, spans: list[tuple[str, int, int]], window: int) -> dic
         left, right = words[lo][0], words[hi - 1][1]
         for m in TERM.finditer(text, left, right):
             if not _touches(covered, m.start(), m.end()):
-                terms.add(m[0].lower())
+                for terms in own:
+                    terms.add(m[0].lower())
     return out
 
 
@@ -145,7 +187,7 @@ def _mentions(docs: DataFrame, window: int) -> DataFrame:
             counts: Counter[tuple[int, str]] = Counter()
             for text in b.column("text").to_pylist():
                 counts[0, ""] += 1
-                if spans := base_spans(text):
+                if spans := protected_spans(text):
                     for e, terms in near_terms(text, spans, window).items():
                         counts[e, ""] += 1
                         counts.update((e, t) for t in terms)
@@ -234,8 +276,8 @@ def _with_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def all_spans(text: str | None, terms: dict[str, float], remove: float) -> list[tuple[str, int, int, str]]:
-    """Base spans (generalised to their kind) and occurrences of terms that touch none."""
-    base = base_spans(text)
+    """Base spans and secrets (generalised to their kind) and occurrences of terms that touch none."""
+    base = protected_spans(text)
     out = [(k, s, e, "generalise") for k, s, e in base]
     if terms and text:
         covered = _union(base)
@@ -243,8 +285,7 @@ def all_spans(text: str | None, terms: dict[str, float], remove: float) -> list[
             share = terms.get(m[0].lower())
             if share is not None and not _touches(covered, m.start(), m.end()):
                 out.append(("term", m.start(), m.end(), "remove" if share >= remove else "generalise"))
-    order = {k: i for i, k in enumerate((*KINDS, "term"))}
-    return sorted(out, key=lambda x: (x[1], order[x[0]], x[2]))
+    return sorted(out, key=lambda x: (x[1], ORDER[x[0]], x[2]))
 
 
 def sanitised(text: str, spans: list[tuple[str, int, int, str]]) -> str:
@@ -275,9 +316,10 @@ def pii_digest(docs: DataFrame) -> DataFrame:
     """The contract of op10."""
     found = find_pii(docs)
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
-    base = F.filter("spans", lambda x: x["kind"] != "term")
-    counts = [F.expr(f"CAST(size(filter(spans, x -> x.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    base = F.filter("spans", lambda x: x["kind"].isin(*KINDS))
+    count = lambda k: F.expr(f"CAST(size(filter(spans, x -> x.kind = '{k}')) AS BIGINT)").alias(f"n_{k}")
+    more = [*map(count, ADDED), F.size("spans").cast("long").alias("n_spans")]
+    return found.select("doc_id", *map(count, KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), *more)
 
 
 def digest_of(spans: list[tuple[str, int, int]]) -> str:

@@ -350,6 +350,24 @@ def test_near_duplicates_where_a_line_repeats_unequally_or_texts_are_short(spark
     assert got == {i: i // 2 * 2 for i in range(len(texts))}
 
 
+def test_band_keys_lose_no_pair_at_the_threshold():
+    r = np.random.default_rng(3)
+    sets = r.integers(0, 1 << 63, (40_000, 5), dtype=np.uint64)
+    assert all((simhash.band_keys(u) == simhash.band_keys(u[:4])).any() for u in sets)
+
+
+def test_near_duplicates_follow_exact_links_only(spark):
+    """A chain of texts, each at 0.6 to the next: candidates, but no links; and one at 0.85 in its middle."""
+    r = random.Random(21)
+    w = [f"w{r.randrange(10**9)}" for _ in range(2400)]
+    texts = [" ".join(w[i : i + 200]) for i in range(0, 2200, 50)]
+    texts.insert(20, " ".join(w[950:1135]))
+    sets = [{*shingles(t.split())} for t in texts]
+    want = linked(list(range(len(texts))), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    got = {x.doc_id: x.group_id for x in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) == len(texts) - 1
+
+
 def test_op5_odd_input(spark):
     out = simhash.simhash_components(clashing(odd_docs(spark))).collect()
     assert len(out) == len(ODD) + 4 and {x.component_id for x in out if x.doc_id in (0, 1, 2, 3)} == {0}
@@ -525,6 +543,45 @@ def test_op10_terms(spark):
     assert clean[60] == "the [TERM] alone, without a name" and secret not in "".join(clean.values())
 
 
+def test_op10_secrets():
+    token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    text = f'token = "{token}" and 4111111111111111 to {"x1" * 20}@mail.example, {"ab" * 20}, {"a1" * 20}'
+    assert [(k, text[s:e]) for k, s, e in pii.secret_spans(text, pii.base_spans(text))] == [("secret", token)]
+    assert pii.sanitised(text, pii.all_spans(text, {}, 0.97)).startswith('token = "[SECRET]" and [CARD] to [EMAIL]')
+
+
+def test_op10_terms_of_classes_act_on_the_table(spark):
+    """What stands beside every secret of the documents is found from the class, as no value recurs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    terms = {x.t: x.disclosure for x in pii.disclosing_terms(docs).collect()}
+    assert terms.get("token", 0) >= 0.97
+    rows = pii.pii_digest(docs).collect()
+    marked = [x for x in rows if x.n_term]
+    assert marked and sum(x.n_secret > 0 for x in rows) >= 5
+    assert sum(x.n_email + x.n_ip + x.n_card + x.n_phone + x.n_secret == 0 for x in marked) <= 0.01 * len(rows)
+
+
+def test_op8_keeps_columns_of_any_name(spark):
+    line = "a line of over twenty letters"
+    df = spark.createDataFrame([(i, line, 7, 8, 9) for i in range(3)], "doc_id long, text string, `of` int, away int, __of int")
+    out = lines.dedup_lines(df).select("doc_id", "text", "of", "away", "__of").collect()
+    assert sorted(map(tuple, out)) == [(0, "", 7, 8, 9), (1, "", 7, 8, 9), (2, line, 7, 8, 9)]
+
+
+def test_op8_runs_hold_a_key_once_and_are_not_shuffled(spark):
+    r = random.Random(12)
+    texts = [(i, "\n".join(f"line number {r.randrange(40)} of the table" for _ in range(6))) for i in range(60)]
+    keys = lines.document_keys(spark.createDataFrame(texts, "doc_id long, text string"), 20).cache()
+    runs = lines.LineRuns(spark, fanout=3)
+    for i in range(5):
+        runs.add(keys.where(F.col("doc_id") % 5 == i))
+    held = [x for level in runs.levels for x in level]
+    assert [len(x) for x in runs.levels] == [2, 1] and sum(x.count() for x in held) == keys.select("h1", "h2").distinct().count()
+    assert "Exchange" not in runs.unseen(held[0])._jdf.queryExecution().executedPlan().toString()
+    want = {(x.h1, x.h2): (x.n, x.m) for x in keys.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("m")).collect()}
+    assert {(x.h1, x.h2): (x.n_docs, x.max_doc) for x in runs.counts().collect()} == want
+
+
 def test_op10_digest_and_odd_input(spark):
     texts = [*ODD, "a@b.cd 1.2.3.4", "call +49 30 1234567 now"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -534,6 +591,7 @@ def test_op10_digest_and_odd_input(spark):
         assert x.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and x.spans == joined
         assert (x.n_email, x.n_ip, x.n_card, x.n_phone) == tuple(sum(k == kind for k, _, _ in want) for kind in pii.KINDS)
     assert pii.pii_digest(clashing(odd_docs(spark))).count() == len(ODD) + 4
+    assert {x.n_spans for x in pii.pii_digest(clashing(odd_docs(spark))).collect()} == {0}
     assert pii.pii_digest(empty_docs(spark)).count() == 0
 
 

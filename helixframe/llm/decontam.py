@@ -3,10 +3,13 @@
 Words are runs of letters and digits, lower-cased.  An item of n words is looked for in windows of n
 words (the whole text where that is shorter).  Of windows that share a shingle with an item of their
 size - no other can have a similarity above zero - the 64-bit SimHash is taken from prefix sums of bit
-votes.  The 64 bits are cut into ``radius + 1`` blocks: an item within ``radius`` bits agrees on one of
-them, so the union of the blocks' tables misses none.  What is left is decided by the exact weighted
-similarity: shared over united shingle counts, at least ``similarity``.  At 0.8 a true pair is 10 bits
-apart on average with a deviation of 3, so radius 23 loses one in two million.
+votes.  The 64 bits are cut into ``PIECES`` blocks whose allowances add up to ``radius`` less one for each
+block but the first: an item within ``radius`` bits stays within the allowance of one block at least, so
+the union of the blocks' tables, which list the items near each value, misses none.  With radius 23 it
+lets 36 in 100 unrelated fingerprints through (blocks that must agree exactly would let 99 through), the
+distance itself 2 in 100.  What is left is decided by the exact weighted similarity: shared over united
+shingle counts, at least ``similarity``.  At 0.8 a true pair is 10 bits apart on average with a deviation
+of 3, so radius 23 loses one in two million.
 
 Items are taken in blocks of at most ``block_items`` items or ``block_bytes`` bytes on average, one pass
 over the texts for each; only a block is ever sent to the tasks.
@@ -30,6 +33,9 @@ from pyspark.sql import functions as F
 from .common import arrow_rows
 
 WORD = re.compile(r"[^\W_]+")
+#: Blocks of 16 bits of a fingerprint, and the cells of (window, item) tables that are looked at together.
+PIECES, BITS = 4, 16
+CELLS = 1 << 22
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xBF58476D1CE4E5B9], dtype=np.uint64)
 
 
@@ -91,15 +97,30 @@ class ItemIndex:
         self.prints = np.array(prints, dtype=np.uint64)
         self.sizes = sorted({min(words, n) for n in self.lengths})
         self.known = {k: np.array(sorted({s for n, c in zip(self.lengths, self.counts, strict=True) if min(words, n) == k for s in c}), dtype=np.uint64) for k in self.sizes}
-        self.by_length: dict[int, tuple[np.ndarray, list]] = {}
-        cuts = np.linspace(0, 64, radius + 2).round().astype(int).tolist()
-        for n in set(self.lengths):
-            own = np.array([i for i, x in enumerate(self.lengths) if x == n])
-            tables = []
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                value = (self.prints[own] >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)
-                tables.append((lo, hi, value[None, :] == np.arange(1 << (hi - lo), dtype=np.uint64)[:, None]))
-            self.by_length[n] = own, tables
+        spare = radius - (PIECES - 1)
+        self.allowed = [(spare + i) // PIECES for i in range(PIECES)]  # each may be -1: no item is that near
+        self.by_length = {n: (own, self._tables(self.prints[own])) for n in set(self.lengths) for own in [np.array([i for i, x in enumerate(self.lengths) if x == n])]}
+
+    def _tables(self, prints: np.ndarray) -> list[np.ndarray]:
+        """For each block, by its value: bits of the items that stay within the block's allowance."""
+        values, out = np.arange(1 << BITS, dtype=np.uint16), []
+        for piece, most in enumerate(self.allowed):
+            table = np.zeros((1 << BITS, -(-len(prints) // 8)), dtype=np.uint8)
+            for at in range(0, len(prints), 64):
+                own = ((prints[at : at + 64] >> np.uint64(BITS * piece)) & np.uint64(0xFFFF)).astype(np.uint16)
+                table[:, at // 8 : at // 8 + 8] = np.packbits(np.bitwise_count(values[:, None] ^ own[None, :]).astype(np.int8) <= most, axis=1)
+            out.append(table)
+        return out
+
+    def near(self, prints: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place in prints, item) of fingerprints within radius of an item of n words."""
+        own, tables = self.by_length[n]
+        met = np.zeros((len(prints), tables[0].shape[1]), dtype=np.uint8)
+        for piece, table in enumerate(tables):
+            met |= table[(prints >> np.uint64(BITS * piece)) & np.uint64(0xFFFF)]
+        at, i = np.nonzero(np.unpackbits(met, axis=1, count=len(own)))
+        close = np.bitwise_count(prints[at] ^ self.prints[own[i]]) <= self.radius
+        return at[close], own[i[close]]
 
     def matches(self, texts: list[str | None]) -> list[dict[int, tuple[float, int]]]:
         """For each text: item index -> (similarity, first word of its best window)."""
@@ -150,16 +171,11 @@ class ItemIndex:
                 np.add.at(edges, np.clip(p - m + 1, 0, last), 1)
                 np.add.at(edges, np.minimum(p, last) + 1, -1)
                 starts = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
-                own, tables = self.by_length[n]
                 prints = _window_fingerprints(votes, starts, m)
-                for at in range(0, len(starts), 4096):
-                    f = prints[at : at + 4096]
-                    near = np.zeros((len(f), len(own)), dtype=bool)
-                    for lo, hi, table in tables:
-                        near |= table[((f >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)).astype(np.int64)]
-                    near &= np.bitwise_count(f[:, None] ^ self.prints[own][None, :]) <= self.radius
-                    for w, i in zip(*np.nonzero(near), strict=True):
-                        self._verify(h, int(starts[at + w]), m, int(own[i]), best)
+                many = max(64, CELLS // len(self.by_length[n][0]))
+                for at in range(0, len(starts), many):
+                    for w, i in zip(*self.near(prints[at : at + many], n), strict=True):
+                        self._verify(h, int(starts[at + w]), m, int(i), best)
 
     def _verify(self, h: np.ndarray, start: int, m: int, item: int, best: dict[int, tuple[float, int]]) -> None:
         window, counts = Counter(h[start : start + m].tolist()), self.counts[item]
@@ -178,7 +194,7 @@ def _blocks(benchmark: DataFrame, block_items: int, block_bytes: int):
         yield sorted((r.item_id, r.text) for r in part.collect() if r.item_id is not None)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 23, block_items: int = 20_000, block_bytes: int = 16 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 23, block_items: int = 4_000, block_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words): every benchmark item found in each document."""
     arrow_rows(docs.sparkSession)
     out, schema = None, "doc_id long, item_id long, similarity double, start_word long, n_words long"
@@ -197,7 +213,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, words: int = 5, similar
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 23, block_items: int = 20_000, block_bytes: int = 16 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 23, block_items: int = 4_000, block_bytes: int = 16 << 20) -> DataFrame:
     """docs without the rows that hold a benchmark item; texts are not shuffled."""
     arrow_rows(docs.sparkSession)
     for items in _blocks(benchmark, block_items, block_bytes):

@@ -264,10 +264,14 @@ def repeated_intervals(docs: DataFrame, length: int, max_classes: int, slice_byt
     first = stage(first.select("h", (F.col("low") != F.col("high")).alias("mixed")), "suffix-first")
     again = stage(runs.join(first, "h"), "suffix-again")
     mixed = again.where("mixed")
-    classes = mixed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), *(F.first(x).alias(x) for x in ("doc_id", "th", "start", "size")))
-    classes = stage(classes, "suffix-classes")
-    groups = classes.groupBy("h").agg(F.count(F.lit(1)).alias("classes"))
-    segments = stage(_segments(docs, classes.join(groups, "h")), "suffix-segments")
+    one = F.min(F.struct("doc_id", "th", "start", "size")).alias("one")  # one row by construction, the same whenever it is computed
+    classes = stage(mixed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), one).select("h", "c", "copies", "one.*"), "suffix-classes")
+    groups = stage(classes.groupBy("h").agg(F.count(F.lit(1)).alias("classes")), "suffix-groups")
+    # digits that a thousandth of the classes share, a thousand at most, go to the classes; the others meet theirs by a shuffle
+    large = (groups.agg(F.sum("classes")).first()[0] or 0) // 1000 + 2
+    hot = F.broadcast(groups.where(F.col("classes") >= large))
+    sized = classes.join(hot, "h").unionByName(classes.join(hot, "h", "left_anti").join(groups.where(F.col("classes") < large), "h"))
+    segments = stage(_segments(docs, sized), "suffix-segments")
     schema = "doc_id long, th long, start long, stop long"
     near = segments.where(F.col("classes") <= max_classes).repartition("h").sortWithinPartitions("h").mapInArrow(_compare(length), schema)
     # of classes that hold over a thousandth of the rows there are a thousand at most: those go to all tasks, unshuffled

@@ -211,6 +211,23 @@ def test_op3_matches_brute_force(spark):
     assert left == {*range(len(texts) + 2)} - {d for d, _ in want}
 
 
+@pytest.mark.parametrize("radius", [0, 2, 9, 23])
+def test_op3_blocks_miss_nothing_within_the_radius_and_select(radius):
+    r = np.random.default_rng(4)
+    items = [(i, " ".join(f"w{r.integers(10**9)}" for _ in range(12))) for i in range(150)]
+    index = decontam.ItemIndex(items, 5, 0.8, radius)
+    prints = r.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    for p in range(0, 3000, 3):  # some at every distance up to the radius
+        flips = r.choice(64, r.integers(0, radius + 2), replace=False)
+        prints[p] = index.prints[p % 150] ^ np.bitwise_or.reduce(np.uint64(1) << flips.astype(np.uint64), initial=np.uint64(0))
+    at, item = index.near(prints, 12)
+    want = np.nonzero(np.bitwise_count(prints[:, None] ^ index.prints[None, :]) <= radius)
+    assert sorted(zip(at.tolist(), item.tolist(), strict=True)) == sorted(zip(*(x.tolist() for x in want), strict=True))
+    _, tables = index.by_length[12]
+    open_share = 1 - np.prod([1 - np.unpackbits(t, axis=1, count=150).mean() for t in tables])
+    assert open_share < 0.4
+
+
 def test_op3_odd_input(spark):
     bench = spark.createDataFrame([(0, "no id at all here"), (1, "one")], "item_id long, text string")
     got = {(x.doc_id, x.item_id) for x in decontam.contamination(clashing(odd_docs(spark)), bench).collect()}
@@ -244,6 +261,24 @@ def test_op4_matches_brute_force(spark, length, classes, size):
     assert [got[i] for i in range(len(texts))] == brute_repeats([t.encode() for t in texts], length)
 
 
+def test_op4_matches_brute_force_at_the_contracts_length(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(x.doc_id, (x.text or "").encode()) for x in docs.collect()]
+    seen = Counter(hash(t[i : i + 400]) for _, t in rows for i in range(len(t) - 399))
+    want = {}
+    for d, t in rows:
+        gone = np.zeros(len(t) + 1, dtype=int)
+        for i in range(len(t) - 399):
+            if seen[hash(t[i : i + 400])] > 1:
+                gone[i] += 1
+                gone[i + 400] -= 1
+        covered = np.cumsum(gone[:-1]) > 0
+        left = bytes(np.frombuffer(t, dtype=np.uint8)[~covered])
+        want[d] = len(t), int(covered.sum()), int((np.diff(covered.astype(int), prepend=0) == 1).sum()), hashlib.sha256(left).hexdigest()
+    out = suffixes.remove_repeats(docs.repartition(7)).collect()
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in out} == want and sum(x[1] > 0 for x in want.values()) > 50
+
+
 def test_op4_odd_input(spark):
     out = suffixes.remove_repeats(clashing(odd_docs(spark)), 50).collect()
     assert len(out) == len(ODD) + 4

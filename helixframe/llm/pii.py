@@ -12,7 +12,9 @@ log(n(t, e) N / (n(t) n(e))) of the entity's log(N / n(e)) bits.  Terms with a s
 they occur.  Counts come from all documents.
 
 Scale: pairs are counted in the tasks before they are shuffled; n(t) is counted for terms that pass
-n(t, e) alone.  Up to ``max_terms`` terms are sent to the tasks; beyond that terms meet the documents'
+n(t, e) alone, and of those only for the ones that can still disclose enough: n(t) within one part of the
+documents in ``PARTS`` is a lower bound of n(t), and a term that exceeds with that already what n(t, e)
+allows is out.  The bound only saves counting; the counts that decide are of all documents.  Up to ``max_terms`` terms are sent to the tasks; beyond that terms meet the documents'
 words by shuffled joins on the term's hash.
 
 Terms of a whole kind give away that a secret is there, not which; terms of a narrow class or a value give
@@ -51,6 +53,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 NOT_DIGIT = re.compile(r"[^0-9]")
 SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{24,}")
 SECRET_BITS = 3.0
+#: One part of the documents in so many gives a lower bound of n(t); counts are handed on at HELD different keys.
+PARTS, HELD = 16, 1 << 17
 ADDED = ("secret", "term")
 ORDER = {kind: i for i, kind in enumerate((*KINDS, *ADDED))}
 PLACEHOLDER = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "secret": "[SECRET]"}
@@ -179,36 +183,54 @@ def _touches(covered: list[tuple[int, int]], start: int, end: int) -> bool:
     return i >= 0 and covered[i][1] > start
 
 
+def _counted(batches, count, schema: pa.Schema):
+    """Counts of what count(text, counter) adds for each text, once a task or whenever HELD keys are held."""
+    counts: Counter = Counter()
+
+    def batch() -> pa.RecordBatch:
+        keys = [k if isinstance(k, tuple) else (k,) for k in counts]
+        columns = [*zip(*keys, strict=True), list(counts.values())]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    for b in batches:
+        for text in b.column("text").to_pylist():
+            count(text, counts)
+        if len(counts) >= HELD:
+            yield batch()
+            counts.clear()
+    if counts:
+        yield batch()
+
+
 def _mentions(docs: DataFrame, window: int) -> DataFrame:
-    """(e, t, n): documents with entity e (t empty), or with term t near e; e = 0: all documents."""
+    """(e, t, n): documents with protected class e (t empty), or with term t near e; e = 0: all documents."""
+    schema = pa.schema([("e", pa.int64()), ("t", pa.string()), ("n", pa.int64())])
 
-    def run(batches):
-        for b in batches:
-            counts: Counter[tuple[int, str]] = Counter()
-            for text in b.column("text").to_pylist():
-                counts[0, ""] += 1
-                if spans := protected_spans(text):
-                    for e, terms in near_terms(text, spans, window).items():
-                        counts[e, ""] += 1
-                        counts.update((e, t) for t in terms)
-            keys = list(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in keys], pa.int64()), pa.array([t for _, t in keys], pa.string()), pa.array(list(counts.values()), pa.int64())], ["e", "t", "n"])
+    def count(text: str | None, counts: Counter) -> None:
+        counts[0, ""] += 1
+        if spans := protected_spans(text):
+            for e, terms in near_terms(text, spans, window).items():
+                counts[e, ""] += 1
+                counts.update((e, t) for t in terms)
 
-    return docs.select("text").mapInArrow(run, "e long, t string, n long").groupBy("e", "t").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lambda batches: _counted(batches, count, schema), "e long, t string, n long").groupBy("e", "t").agg(F.sum("n").alias("n"))
 
 
 def _term_counts(docs: DataFrame, only: frozenset[int] | None) -> DataFrame:
-    """(th, n): documents with each term, of the hashes in only if given."""
+    """(th, nt): documents with each term, of the hashes in only if given."""
+    schema = pa.schema([("th", pa.int64()), ("n", pa.int64())])
+
+    def count(text: str | None, counts: Counter) -> None:
+        hashes = {term_hash(t) for t in set(TERM.findall((text or "").lower()))}
+        counts.update(hashes if only is None else hashes & only)
+
+    return docs.select("text").mapInArrow(lambda batches: _counted(batches, count, schema), "th long, n long").groupBy("th").agg(F.sum("n").alias("nt"))
 
-    def run(batches):
-        for b in batches:
-            counts: Counter[int] = Counter()
-            for text in b.column("text").to_pylist():
-                hashes = {term_hash(t) for t in set(TERM.findall((text or "").lower()))}
-                counts.update(hashes if only is None else hashes & only)
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["th", "n"])
 
-    return docs.select("text").mapInArrow(run, "th long, n long").groupBy("th").agg(F.sum("n").alias("nt"))
+def _hashes(terms: DataFrame, max_terms: int) -> frozenset[int] | None:
+    """Hashes of the terms(t) to look for; None if there are too many to hold."""
+    few = terms.select("t").distinct().limit(max_terms + 1).collect()
+    return frozenset(term_hash(r.t) for r in few) if len(few) <= max_terms else None
 
 
 def disclosing_terms(docs: DataFrame, window: int = 8, min_docs: int = 3, generalise: float = 0.9, max_terms: int = 200_000) -> DataFrame:
@@ -219,12 +241,12 @@ def disclosing_terms(docs: DataFrame, window: int = 8, min_docs: int = 3, genera
     entities = counts.where("e != 0 AND t = ''").select("e", F.col("n").alias("ne"))
     pairs = stage(counts.where((F.col("t") != "") & (F.col("n") >= min_docs)).join(entities, "e").select("t", "n", "ne"), "pii-pairs")
     hashed = pairs.withColumn("th", _hash_of(F.col("t")))
-    names = pairs.select("t").distinct()
-    few = names.limit(max_terms + 1).collect()
-    only = frozenset(term_hash(r.t) for r in few) if len(few) <= max_terms else None
-    if total is None or not few:
+    if total is None or pairs.isEmpty():
         return docs.sparkSession.createDataFrame([], "th long, t string, disclosure double")
-    met = hashed.join(_term_counts(docs, only), "th")
+    most = F.col("n") * F.pow(F.lit(float(total.n)) / F.col("ne"), F.lit(1 - generalise)) * F.lit(1 + 1e-9)  # n(t) at the threshold
+    part = docs.where(F.pmod(F.xxhash64("text"), F.lit(PARTS)) == 0)
+    likely = stage(hashed.join(_term_counts(part, _hashes(pairs, max_terms)), "th", "left").where(F.coalesce("nt", F.lit(0)) <= most).drop("nt"), "pii-likely")
+    met = likely.join(_term_counts(docs, _hashes(likely, max_terms)), "th")
     share = F.log(F.col("n") * F.lit(float(total.n)) / (F.col("nt") * F.col("ne"))) / F.log(F.lit(float(total.n)) / F.col("ne"))
     return stage(met.where(F.col("ne") < total.n).withColumn("disclosure", share).groupBy("th", "t").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= generalise), "pii-terms")
 

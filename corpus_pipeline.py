@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and
 read again as the next stage's docs.  Part of the subpackage helixframe.llm.
+
+Edge cases, in every stage: an empty table gives an empty result; columns other than those of documents are
+left out, whatever their names; a null text counts as empty for the classifier, has no lines to drop, equals
+other texts without shingles in near-dedup, holds no benchmark item and has no tokens; rows with a null
+doc_id are scored, never edited, kept by near-dedup and mixed like any other; repeated rows share one
+doc_id and therefore one fate.
 """
 
 from __future__ import annotations
@@ -13,6 +19,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm import decontam, lines, mixing, quality, simhash
 from helixframe.llm.common import shared_dir
+from helixframe.plans.staging import delete
 from helixframe.sources.tables import read_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -68,5 +75,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = function(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs.write.parquet(f"{base}/{i}")
+            if i:
+                delete(spark, f"{base}/{i - 1}")  # its only reader is written
             docs = spark.read.schema(docs.schema).parquet(f"{base}/{i}")
     return docs

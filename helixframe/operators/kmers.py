@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions import seq as S
 
-#: Up to this k, distinct windows are few enough (4 ** k) for counting them first to pay at any size.
-PREAGGREGATE_UP_TO = 12
 MAX_K = 254
 
 
@@ -47,17 +45,16 @@ def longest_windows(reads: DataFrame, min_k: int, max_k: int) -> DataFrame:
     return parts.select("piece", at.alias("at")).select(F.substring(F.col("piece"), F.col("at"), F.lit(max_k)).alias("w"))
 
 
-def count_kmers(reads: DataFrame, min_k: int = 2, max_k: int = 12, preaggregate: bool | None = None) -> DataFrame:
+def count_kmers(reads: DataFrame, min_k: int = 2, max_k: int = 12, preaggregate: bool = True) -> DataFrame:
     """A1: (k, kmer, coverage) for every k in [min_k, max_k].
 
     Every k-window is the prefix of the longest window at its place, so windows of max_k (shorter at the
-    end of a read) are counted first and each distinct one then adds its count to its prefixes.  For small
-    max_k the first count leaves 4 ** max_k rows at most, whatever the corpus' size, and one row instead
-    of max_k - min_k + 1 is made for each base read.
+    end of a read) are counted first, in the tasks and then over all, and each distinct one adds its count
+    to its prefixes: one row is shuffled for each base read instead of max_k - min_k + 1, and the prefixes
+    are made once for all reads that cover a place.  For small max_k the first count leaves 4 ** max_k rows
+    at most, whatever the corpus' size.  preaggregate=False makes all prefixes from the reads directly.
     """
     check_range(min_k, max_k)
-    if preaggregate is None:
-        preaggregate = max_k <= PREAGGREGATE_UP_TO
     longest = longest_windows(reads, min_k, max_k)
     counted = longest.groupBy("w").agg(F.count(F.lit(1)).alias("c")) if preaggregate else longest.withColumn("c", F.lit(1).cast("long"))
     both = counted.select("w", S.revcomp("w").alias("rc"), F.length("w").alias("n"), "c").withColumn("k", F.explode(F.sequence(F.lit(min_k), F.col("n"))))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seq as S
 from ..plans.staging import stage
-from . import walks
+from . import regions, walks
 from .components import connected_components
 from .grouped import by_group
 from .kmers import oriented
@@ -218,21 +218,28 @@ def unitigs(nodes: DataFrame, k: int) -> DataFrame:
     return by_group(rows, "chain", run, "seq string, length long, n_nodes long, coverage long")
 
 
-def max_coverage_contigs(nodes: DataFrame, seeds: DataFrame, min_k: int, max_nodes: int = 2_000_000) -> DataFrame:
+def max_coverage_contigs(nodes: DataFrame, seeds: DataFrame, min_k: int, max_nodes: int = regions.MAX_NODES) -> DataFrame:
     """seeds(seq) -> (seed, seq, length, quality): greedy extension to both sides by the best covered base.
 
-    A walk may go anywhere, so every task gets the graph; max_nodes is the checked bound of that table.
+    Every task gets a graph of up to max_nodes, which is checked.  A larger one is dealt out by regions
+    over shared contexts of min_k bases, since each step keeps that many; only a region may not be larger.
     """
-    table = nodes.select("kmer", "coverage").limit(max_nodes + 1).collect()
-    if len(table) > max_nodes:
-        raise ValueError(f"over {max_nodes} nodes; prune the graph or raise max_nodes")
-    coverage = nodes.sparkSession.sparkContext.broadcast({r.kmer: r.coverage for r in table})
-
-    def run(batches):
-        for pdf in batches:
-            rows = [(s, *walks.greedy(s, coverage.value, min_k)) for s in pdf.seq]
-            yield pd.DataFrame([(s, seq, len(seq), cov) for s, seq, cov in rows], columns=["seed", "seq", "length", "cov"])
-
-    spread = seeds.select("seq").repartition(nodes.sparkSession.sparkContext.defaultParallelism, "seq")
-    out = spread.mapInPandas(run, "seed string, seq string, length long, cov array<long>")
+    schema = "seed string, seq string, length long, cov array<long>"
+
+    def walk_all(graph: dict[str, int], starts: list[str]):
+        for s in starts:
+            seq, cov = walks.greedy(s, graph, min_k)
+            yield s, seq, len(seq), cov
+
+    graph = regions.held(nodes, "coverage", max_nodes)
+    if graph is None:
+        out = regions.walk_regions(nodes, seeds, regions.by_context(nodes, seeds, min_k), max_nodes, walk_all, schema)
+    else:
+        coverage = nodes.sparkSession.sparkContext.broadcast(graph)
+
+        def run(batches):
+            for pdf in batches:
+                yield pd.DataFrame(walk_all(coverage.value, pdf.seq), columns=["seed", "seq", "length", "cov"])
+
+        out = seeds.select("seq").repartition(nodes.sparkSession.sparkContext.defaultParallelism, "seq").mapInPandas(run, schema)
     return out.select("seed", "seq", "length", S.coverage_quality("cov").alias("quality"))

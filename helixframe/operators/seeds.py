@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
+from . import regions
 from .links import coverage_unambiguous, surface
 from .maintain import deep_mark
 from .stats import log_mass_hook
-from .walks import key, link_strength, rc
+from .walks import greedy, key, link_strength, rc
 
 
 def _off_hook(nodes: DataFrame, hooks: DataFrame) -> DataFrame:
@@ -34,14 +35,6 @@ def next_seeds(nodes: DataFrame, extracted: DataFrame, n: int = 1) -> DataFrame:
     return nodes.join(done, ["k", "kmer"], "left_anti").orderBy(F.desc("k"), "kmer").limit(n)
 
 
-def bounded_graph(nodes: DataFrame, max_nodes: int) -> dict[str, int]:
-    """K-mer -> coverage on the driver, after a check of its size."""
-    rows = nodes.select("kmer", "coverage").limit(max_nodes + 1).collect()
-    if len(rows) > max_nodes:
-        raise ValueError(f"over {max_nodes} nodes; prune the graph or raise max_nodes")
-    return {r.kmer: r.coverage for r in rows}
-
-
 def steady(seed: str, coverage: dict[str, int], threshold: float) -> tuple[str, list[int]]:
     """Extend to both sides while exactly one next k-mer is close in coverage and none is met twice."""
     used = {key(seed)}
@@ -63,54 +56,74 @@ def steady(seed: str, coverage: dict[str, int], threshold: float) -> tuple[str,
     return rc(backward) + seed + forward, before[::-1] + [coverage.get(key(seed), 0)] * len(seed) + after
 
 
-def steady_contigs(nodes: DataFrame, seeds: DataFrame, threshold: float = 0.0025, max_nodes: int = 2_000_000, drop_up_to: int = 150, long_from: int = 500) -> DataFrame:
-    """seeds(seq) -> (seed, seq, length, average, deviation, is_long); contigs of up to drop_up_to bases are dropped."""
-    graph = nodes.sparkSession.sparkContext.broadcast(bounded_graph(nodes, max_nodes))
+def steady_contigs(nodes: DataFrame, seeds: DataFrame, threshold: float = 0.0025, max_nodes: int = regions.MAX_NODES, drop_up_to: int = 150, long_from: int = 500) -> DataFrame:
+    """seeds(seq) -> (seed, seq, length, average, deviation, is_long); contigs of up to drop_up_to bases are dropped.
+
+    Every task gets a graph of up to max_nodes, which is checked; a larger one is dealt out by regions of
+    close pairs, which steps never leave.
+    """
+    schema = "seed string, seq string, length long, average double, deviation double"
+
+    def walk_all(graph: dict[str, int], starts: list[str]):
+        for s in starts:
+            seq, cov = steady(s, graph, threshold)
+            yield s, seq, len(seq), float(pd.Series(cov).mean()), float(pd.Series(cov).std(ddof=0))
+
+    graph = regions.held(nodes, "coverage", max_nodes)
+    if graph is None:
+        out = regions.walk_regions(nodes, seeds, regions.by_close_pairs(nodes, seeds, threshold), max_nodes, walk_all, schema)
+    else:
+        shared = nodes.sparkSession.sparkContext.broadcast(graph)
 
-    def run(batches):
-        for pdf in batches:
-            rows = [(s, *steady(s, graph.value, threshold)) for s in pdf.seq]
-            yield pd.DataFrame([(s, seq, len(seq), float(pd.Series(c).mean()), float(pd.Series(c).std(ddof=0))) for s, seq, c in rows], columns=["seed", "seq", "length", "average", "deviation"])
+        def run(batches):
+            for pdf in batches:
+                yield pd.DataFrame(walk_all(shared.value, pdf.seq), columns=["seed", "seq", "length", "average", "deviation"])
 
-    spread = seeds.select("seq").repartition(nodes.sparkSession.sparkContext.defaultParallelism, "seq")
-    out = spread.mapInPandas(run, "seed string, seq string, length long, average double, deviation double")
+        out = seeds.select("seq").repartition(nodes.sparkSession.sparkContext.defaultParallelism, "seq").mapInPandas(run, schema)
     return out.where(F.col("length") > drop_up_to).withColumn("is_long", F.col("length") >= long_from)
 
 
-def assemble_all(nodes: DataFrame, min_k: int, max_nodes: int = 2_000_000) -> DataFrame:
+def assemble_all(nodes: DataFrame, min_k: int, max_nodes: int = regions.MAX_NODES) -> DataFrame:
     """Greedy contigs from every node not yet used with at least average coverage, longest k-mers first.
 
-    Each contig takes its nodes away from the next ones, so this is one sequence of steps on the driver
-    over a graph of checked size.
+    Each contig takes its nodes away from the next ones, so this is one sequence of steps: on the driver
+    for a graph of up to max_nodes, which is checked, otherwise one for each region over contexts of min_k
+    bases, since contigs take nodes of their own region only.
     """
-    from .walks import greedy
-
-    graph = bounded_graph(nodes, max_nodes)
-    average = sum(graph.values()) / max(1, len(graph))
-    left, rows = dict(graph), []
-    for kmer in sorted(graph, key=lambda x: (-len(x), x)):
-        if kmer not in left or graph[kmer] < average or len(kmer) < min_k:
-            continue
-        seq, cov = greedy(kmer, left, min_k)
-        for k in range(min_k, len(kmer) + 1):
-            for i in range(len(seq) - k + 1):
-                left.pop(key(seq[i : i + k]), None)
-        rows.append((key(seq), len(seq), sum(cov) / len(cov)))
-    return nodes.sparkSession.createDataFrame(rows, "seq string, length long, average double")
-
-
-def extract_all(nodes: DataFrame, min_overlap: int = 7, max_nodes: int = 2_000_000) -> DataFrame:
+    schema = "seq string, length long, average double"
+    size = nodes.agg(F.count(F.lit(1)).alias("n"), F.sum("coverage").alias("sum")).first()
+    average = (size["sum"] or 0) / max(1, size["n"])
+
+    def take(graph: dict[str, int], starts: list[str]):
+        left = dict(graph)
+        for kmer in sorted(starts, key=lambda x: (-len(x), x)):
+            if kmer not in left or graph[kmer] < average or len(kmer) < min_k:
+                continue
+            seq, cov = greedy(kmer, left, min_k)
+            for k in range(min_k, len(kmer) + 1):
+                for i in range(len(seq) - k + 1):
+                    left.pop(key(seq[i : i + k]), None)
+            yield key(seq), len(seq), sum(cov) / len(cov)
+
+    graph = regions.held(nodes, "coverage", max_nodes)
+    if graph is not None:
+        return nodes.sparkSession.createDataFrame(list(take(graph, list(graph))), schema)
+    starts = nodes.select(F.col("kmer").alias("seq"))
+    return regions.walk_regions(nodes, starts, regions.by_context(nodes, starts, min_k), max_nodes, take, schema)
+
+
+def extract_all(nodes: DataFrame, min_overlap: int = 7, max_nodes: int = regions.MAX_NODES) -> DataFrame:
     """(seq, length) of unambiguous extensions of every node not yet marked, the longest k-mers first.
 
     A walk follows the only base seen behind its context; where none was seen it falls back to shorter
     contexts of min_overlap - 1 bases at least.  It ends at a fork, at a palindrome it falls back to, and
     behind the base that leads to a marked node.  Nodes on the way are marked with all that they contain,
-    for later walks too, so this is one sequence of steps over a graph of checked size.
+    for later walks too, and such short contexts connect all, so this is one sequence of steps over a graph of
+    checked size.
     """
-    rows = nodes.select("kmer", "edges").limit(max_nodes + 1).collect()
-    if len(rows) > max_nodes:
-        raise ValueError(f"over {max_nodes} nodes; prune the graph or raise max_nodes")
-    masks = {r.kmer: r.edges for r in rows}
+    masks = regions.held(nodes, "edges", max_nodes)
+    if masks is None:
+        raise ValueError(f"over {max_nodes} nodes or {regions.MAX_BYTES} bytes of k-mers; prune the graph or raise max_nodes")
     marked: set[str] = set()
 
     def mark(w: str) -> None:

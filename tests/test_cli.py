@@ -1,11 +1,12 @@
 import random
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from helixframe import __main__ as cli
 from helixframe.functions import seq as S
-from helixframe.operators import kmers, seeds, stats, visits
+from helixframe.operators import cluster, kmers, seeds, stats, visits
 from helixframe.sources import plots
 from tests import model
 from tests.test_core import as_counts, make, some_reads
@@ -70,6 +71,28 @@ def test_seeds_and_simple_contigs(spark):
     assert rows and all((12, model.canon(x.seq[i : i + 12])) in counts for x in rows for i in range(len(x.seq) - 11))
 
 
+def test_walks_by_region_equal_walks_over_the_whole_graph(spark):
+    r = random.Random(4)
+    seqs = ["".join(r.choice("ACGT") for _ in range(50)) for _ in range(8)]
+    reads = [s[i : i + 30] for s in seqs for i in range(0, 21, 5) for _ in range(r.randrange(1, 4))]
+    nodes = kmers.build_nodes(make(spark, reads), 9, 12).cache()
+    assert nodes.count() > 1000
+    level = nodes.where("k = 12").cache()
+    starts = level.select(F.col("kmer").alias("seq")).union(spark.createDataFrame([("ACGTTGCAACGA",), (seqs[0][5:17],), ("ACG",)], "seq string"))
+    bound = 900  # below the whole graph, above each region
+    for run in (
+        lambda n: cluster.max_coverage_contigs(nodes, starts, 9, n),
+        lambda n: seeds.steady_contigs(level, starts.where("length(seq) = 12"), 0.3, n if n > bound else 200, drop_up_to=0),
+        lambda n: seeds.assemble_all(nodes, 9, n),
+    ):
+        whole, parts = (sorted(map(tuple, run(n).collect())) for n in (10**6, bound))
+        assert whole and parts == whole
+    with pytest.raises(ValueError, match="region"):
+        seeds.assemble_all(nodes, 9, 3)
+    with pytest.raises(ValueError):
+        seeds.extract_all(nodes, 7, 3)
+
+
 def test_contour(spark):
     script = plots.contour_script(stats.log_statistics(kmers.count_kmers(make(spark, some_reads(1)), 2, 4)), "x")
     assert script.startswith("k <- c(2, 3, 4)") and "filled.contour" in script

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import contextlib
+import json
 import time
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,20 +18,44 @@ from .staging import stage
 
 
 class Phases:
-    """Names Spark's jobs by phase, for its UI, and keeps the seconds that each took."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.seconds = spark, {}
+    """Names Spark's jobs by phase, for its UI, and keeps the seconds that each took.
+
+    With a path, report() is written there as JSON whenever a phase begins or ends.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path, self.now, self.seconds = spark, path, None, {}
+
+    def report(self) -> dict:
+        """The present phase, seconds by phase, active stages with their tasks, and MB of memory by executor."""
+        sc = self.spark.sparkContext
+        tracker = sc.statusTracker()
+        stages = [x for x in map(tracker.getStageInfo, tracker.getActiveStageIds()) if x is not None]
+        memory = sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc._jsc.sc().getExecutorMemoryStatus())
+        return {
+            "application": sc.applicationId,
+            "phase": self.now,
+            "seconds": {k: round(v, 1) for k, v in self.seconds.items()},
+            "stages": [{"id": x.stageId, "name": x.name, "tasks": x.numTasks, "active": x.numActiveTasks, "done": x.numCompletedTasks, "failed": x.numFailedTasks} for x in stages],
+            "executors": {str(e): {"most_mb": m._1() >> 20, "free_mb": m._2() >> 20} for e, m in memory.items()},
+        }
+
+    def _write(self) -> None:
+        if self.path:
+            Path(self.path).write_text(json.dumps(self.report(), indent=1))
 
     @contextlib.contextmanager
     def phase(self, name: str) -> Iterator[None]:
-        began = time.monotonic()
+        began, self.now = time.monotonic(), name
+        self._write()
         self.spark.sparkContext.setJobDescription(name)
         try:
             yield
         finally:
             self.spark.sparkContext.setJobDescription(None)
             self.seconds[name] = self.seconds.get(name, 0) + time.monotonic() - began
+            self.now = None
+            self._write()
 
 
 class KmerGraph:

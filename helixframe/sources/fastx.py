@@ -7,10 +7,14 @@ that Spark reads.
 
 from __future__ import annotations
 
+from typing import BinaryIO
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.staging import staged_path
+
 HEADER_CHARS = 4095
 
 
@@ -72,6 +76,19 @@ def _kind(spark: SparkSession, path: str | list[str]) -> str:
     return kind
 
 
+def spool(spark: SparkSession, stream: BinaryIO, chunk: int = 4 << 20) -> str:
+    """The path of a copy of a stream in the shared folder, where executors can read it, chunk by chunk."""
+    path = staged_path(spark, "stream")
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(there)
+    try:
+        while data := stream.read(chunk):
+            out.write(bytearray(data))
+    finally:
+        out.close()
+    return path
+
+
 def read_fastx(spark: SparkSession, path: str | list[str], columns: tuple[str, ...] = ("name", "seq", "qual")) -> DataFrame:
     """By the first character of the data, '>' or '@'; columns not asked for are not parsed.
 

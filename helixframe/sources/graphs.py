@@ -57,11 +57,20 @@ def describe(nodes: DataFrame, k: int | None = None) -> DataFrame:
 
 
 def vertices(nodes: DataFrame) -> DataFrame:
-    """(id, label, size)."""
-    return nodes.select(F.concat_ws(":", F.lpad(F.col("k").cast("string"), 3, "0"), "kmer").alias("id"), F.col("kmer").alias("label"), F.col("coverage").alias("size"))
+    """(id, label, size, level, shape, share): share is the coverage's part, 0 to 1, of the highest at that k, for colours."""
+    top = nodes.groupBy("k").agg(F.max("coverage").alias("top"))  # one row for each k
+    shape = F.when(F.col("is_palindrome"), "cube").otherwise("sphere").alias("shape")
+    name = F.concat_ws(":", F.lpad(F.col("k").cast("string"), 3, "0"), "kmer").alias("id")
+    return nodes.join(top, "k").select(name, F.col("kmer").alias("label"), F.col("coverage").alias("size"), F.col("k").alias("level"), shape, (F.col("coverage") / F.col("top")).alias("share"))
 
 
 def arcs(nodes: DataFrame) -> DataFrame:
     """(src, dst, side): from each node to its parents."""
     ids = lambda k, x: F.concat_ws(":", F.lpad(k.cast("string"), 3, "0"), x)
     return parent_keys(nodes).where("k > 2").select(ids(F.col("k"), F.col("kmer")).alias("src"), ids(F.col("k") - 1, F.col("parent")).alias("dst"), "side")
+
+
+def save_picture(nodes: DataFrame, path: str) -> None:
+    """Vertices and arcs as Parquet, for any viewer."""
+    vertices(nodes).write.mode("overwrite").parquet(f"{path}/vertices")
+    arcs(nodes).write.mode("overwrite").parquet(f"{path}/arcs")

@@ -1,3 +1,5 @@
+import io
+import json
 import random
 
 import pyarrow as pa
@@ -35,6 +37,27 @@ def test_assemble_compare_and_rmdup(spark, tmp_path):
     assert cli.cutoff("5") == 5 and cli.cutoff("#") == "#" and cli.cutoff("20") == 20
 
 
+def test_standard_input_scripts_and_status(spark, tmp_path, monkeypatch, capsys):
+    r = random.Random(5)
+    genome = "".join(r.choice("ACGT") for _ in range(120))
+    text = "".join(f"@r{i}\n{genome[i : i + 40]}\n+\n{'I' * 40}\n" for i in range(0, 81, 2))
+    (tmp_path / "a b.fq").write_text(text)
+    monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(text.encode())))
+    cli.main(["assemble", "-", "-k", "9", "-m", "11", "-l", "20", "-o", str(tmp_path / "c"), "-d", str(tmp_path / "g"), "--status", str(tmp_path / "status.json")])
+    status = json.loads((tmp_path / "status.json").read_text())
+    assert status["phase"] is None and set(status["seconds"]) == {"build and prune", "assemble"} and status["executors"]
+    (tmp_path / "s").write_text(f"# whole graph\n\nstatistics '{tmp_path}/a b.fq' -k 9 -m 11\nfind -L {tmp_path}/g -S {genome[5:15]}\nshow -L {tmp_path}/g -n 3\npicture -L {tmp_path}/g -o {tmp_path}/p\nquit\nno such command\n")
+    cli.main(["script", str(tmp_path / "s")])
+    out = capsys.readouterr().out
+    assert model.canon(genome[5:15]) in out and "reverse_complement" in out
+    whole = spark.read.parquet(str(tmp_path / "p" / "vertices"))
+    assert whole.count() == spark.read.parquet(str(tmp_path / "g")).count()
+    assert whole.agg(F.max("share")).first()[0] == 1.0 and {x.shape for x in whole.select("shape").distinct().collect()} <= {"cube", "sphere"}
+    built = cli.load_reads(spark, [str(tmp_path / "a b.fq")], True, None, 9).count()
+    monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(text.encode())))
+    assert built == cli.load_reads(spark, ["-"], True, None, 9).count() == 41
+
+
 def test_hooks(spark):
     seqs = some_reads(3)
     nodes = kmers.build_nodes(make(spark, seqs), 3, 6).cache()

@@ -194,6 +194,11 @@ def edge_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmers.build_nodes(X.reference_reads(spark, sf_dir), 4, 10)
 
 
+@query(f"WITH {nodes_sql(6, 8)} SELECT * FROM nod")
+def document_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.build_nodes(X.reads(spark, sf_dir), 6, 8)
+
+
 @query(f"WITH {nodes_sql(4, 10, REFS)} SELECT k, bit_count(edges)::BIGINT AS extensions, bit_count(edges & 240) > 1 OR bit_count(edges & 15) > 1 AS ambiguous, count(*) AS n FROM nod GROUP BY ALL")
 def ambiguous_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = kmers.build_nodes(X.reference_reads(spark, sf_dir), 4, 10)

@@ -20,6 +20,8 @@ from .links import neighbours, parents
 from .maintain import substrings
 
 CUTOFF = 0.05
+#: What one task may label alone of a k-mer graph, as connected_components takes it: edges, and bytes of ids.
+HELD = {"small_edges": 2_000_000, "small_bytes": 128 << 20}
 
 
 def node_id(k: Column | str = "k", kmer: Column | str = "kmer") -> Column:
@@ -38,7 +40,7 @@ def adjacency(nodes: DataFrame, min_k: int) -> DataFrame:
 def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
     """H1: nodes of start(node) and all that edges(src, dst) lead to in either direction: the components of start's nodes."""
     first = stage(start.select("node").distinct(), "reach-start")
-    groups = stage(connected_components(edges), "reach-components")
+    groups = stage(connected_components(edges, **HELD), "reach-components")
     met = groups.join(first, "node", "left_semi").select("component").distinct()
     return groups.join(met, "component", "left_semi").select("node").union(first).distinct()
 
@@ -57,7 +59,7 @@ def clusters(nodes: DataFrame, min_k: int, cutoff: float = CUTOFF) -> DataFrame:
     free = marked.where("palindrome IS NULL").select("id")
     links = adjacency(nodes, min_k).where(F.col("strength") <= cutoff)
     links = stage(links.join(free.withColumnRenamed("id", "src"), "src", "left_semi").join(free.withColumnRenamed("id", "dst"), "dst", "left_semi"), "cluster-links")
-    groups = connected_components(links).withColumnRenamed("node", "id")
+    groups = connected_components(links, **HELD).withColumnRenamed("node", "id")
     strongest = links.join(groups.withColumnRenamed("id", "src"), "src").groupBy("component").agg(F.max("strength").alias("strength"))
     named = marked.join(groups, "id", "left").withColumn("group_id", F.coalesce("palindrome", "component", "id"))
     return named.join(strongest.withColumnRenamed("component", "group_id"), "group_id", "left").select("k", "kmer", "coverage", "edges", "group_id", F.coalesce("strength", F.lit(0.0)).alias("strength"), F.col("palindrome").isNotNull().alias("has_palindrome"))
@@ -199,7 +201,8 @@ def unitigs(nodes: DataFrame, k: int) -> DataFrame:
     b = strand.where((F.bit_count("back") == 1) & ~F.col("is_palindrome")).select(F.col("w").alias("wb"), F.col("kmer").alias("dst"), F.left("w", F.lit(k - 1)).alias("core"), F.right("w", F.lit(1)).alias("base"))
     links = a.join(b, "core").where(F.call_function("shiftright", F.lit(8), F.instr(F.lit(S.BASES), F.col("base")) - 1) == F.col("on")).where("src != dst")
     links = stage(links.select("wa", "wb", "src", "dst"), "unitig-links")
-    comp = connected_components(links.select("src", "dst")).withColumnRenamed("node", "kmer")
+    once = links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))  # both strands have each link
+    comp = connected_components(once, **HELD).withColumnRenamed("node", "kmer")
     rows = level.select("kmer", "coverage").join(comp, "kmer", "left").select("kmer", "coverage", F.coalesce("component", "kmer").alias("chain"))
     nexts = links.groupBy(F.col("src").alias("kmer")).agg(F.collect_list(F.struct("wa", "wb")).alias("nexts"))
     rows = rows.join(nexts, "kmer", "left")

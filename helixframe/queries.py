@@ -481,6 +481,11 @@ def unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.unitigs(ref_nodes(spark, sf_dir, 15, 16), 15)
 
 
+@query()
+def document_unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.unitigs(stage(kmers.build_nodes(X.reads(spark, sf_dir), 15, 16), "document-nodes"), 15)
+
+
 @query()
 def maxcov_contig(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = ref_nodes(spark, sf_dir, 9, 12)

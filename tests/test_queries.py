@@ -103,3 +103,41 @@ def test_reach_has_no_bound_of_steps(spark):
     edges = edges.union(spark.createDataFrame([("x", "y")], "src string, dst string"))
     got = [r.node for r in cluster.reach(edges, spark.createDataFrame([("00000",), ("alone",)], "node string")).collect()]
     assert sorted(got) == [*(f"{i:05d}" for i in range(1501)), "alone"]
+
+
+def brute_unitigs(seqs, k):
+    found = {x for _, x in model.count(seqs, k, k + 1)}
+    ahead = lambda w: [w[1:] + c for c in "ACGT" if model.canon(w + c) in found]
+
+    def step(w):
+        ways = ahead(w)
+        if len(ways) == 1 and len(ahead(model.rc(ways[0]))) == 1 and model.canon(ways[0]) != model.canon(w):
+            return ways[0]
+
+    seen, out = set(), []
+    for x in sorted(x for x in found if len(x) == k):
+        if x in seen:
+            continue
+        back = [x]
+        while (w := step(model.rc(back[-1]))) and model.rc(w) != x:
+            back.append(model.rc(w))
+        line = [x if w else back[-1]]  # a ring starts at its smallest k-mer
+        while (w := step(line[-1])) and w != line[0]:
+            line.append(w)
+        seen.update(map(model.canon, line))
+        out.append((model.canon(line[0] + "".join(w[-1] for w in line[1:])), len(line)))
+    return sorted(out)
+
+
+def test_document_unitigs_equal_brute_force(spark, tmp_path):
+    r = random.Random(5)
+    texts = ["".join(r.choice("abcdefghijklmnop ") for _ in range(n)) for n in (0, 3, 15, 16, 40, 200, 700)]
+    ring = "".join(r.choice("abcd") for _ in range(41))
+    texts += [texts[-1][100:400] + texts[-2], texts[-1][250:300] * 2, texts[-1][500:560] + texts[-1][90:150], ring * 3, None, texts[-1]]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seqs = [x.seq for x in X.reads(spark, str(tmp_path)).collect() if x.seq]
+    rows = queries.document_unitigs(spark, str(tmp_path)).collect()
+    want = brute_unitigs(seqs, 15)
+    assert sorted((x.seq, x.n_nodes) for x in rows) == want
+    assert sum(x.coverage for x in rows) == sum(max(0, len(s) - 14) for s in seqs)
+    assert len(want) > 6 and 41 in {n for _, n in want}

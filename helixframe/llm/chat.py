@@ -11,8 +11,8 @@ once, to be rendered, and only those of the conversations that stay.
 
 A conversation becomes one value, so its turns meet in one task; nothing else does.
 
-Edge cases: turns are ordered by turn, role, text, nulls first, and positions are counted, so gaps and
-repeated turn numbers do no harm; null roles and texts are told apart from empty ones in comparisons
+Edge cases: turns are ordered by turn, role, md5 of the text, nulls first, for the hashes and for rendering
+alike, and positions are counted, so gaps and repeated turn numbers do no harm; null roles and texts are told apart from empty ones in comparisons
 and rendered as empty; rows with a null conv_id are one conversation; an empty table gives an empty
 result; other columns are ignored.
 """
@@ -54,7 +54,7 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
 
 
 def rendered(turns: Column) -> Column:
-    """An array of (role, text) as one string."""
+    """An array of structs with role and text as one string."""
     return F.array_join(
         F.transform(turns, lambda t: F.concat(F.lit(OPEN), F.coalesce(t["role"], F.lit("")), F.lit("\n"), F.coalesce(t["text"], F.lit("")), F.lit(f"{CLOSE}\n"))), ""
     )
@@ -63,15 +63,15 @@ def rendered(turns: Column) -> Column:
 def format_chats(turns: DataFrame) -> DataFrame:
     """turns(conv_id, turn, role, text) -> (conv_id, n_turns, rendered) of the maximal conversations."""
     stay = maximal_conversations(turns)
-    rows = turns.select("conv_id", F.struct("turn", "role", "text").alias("t"))
+    rows = turns.select("conv_id", F.struct("turn", "role", F.md5("text").alias("tie"), "text").alias("t"))
     kept = rows.join(stay.withColumnRenamed("conv_id", "of"), F.col("conv_id").eqNullSafe(F.col("of"))).groupBy("conv_id", "n_turns").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     return kept.select("conv_id", "n_turns", rendered(F.col("ts")).alias("rendered"))
 
 
 def oracle() -> str:
     """DuckDB SQL for format_chats, comparing whole lists of turns instead of hashes."""
-    return f"""WITH c AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn, role, md5(text)) AS ts,
-  string_agg('{OPEN}' || coalesce(role, '') || chr(10) || coalesce(text, '') || '{CLOSE}' || chr(10), '' ORDER BY turn, role, text) AS rendered
+    return f"""WITH c AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(text) NULLS FIRST) AS ts,
+  string_agg('{OPEN}' || coalesce(role, '') || chr(10) || coalesce(text, '') || '{CLOSE}' || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(text) NULLS FIRST) AS rendered
   FROM conversations GROUP BY conv_id),
 u AS (SELECT min(conv_id) AS conv_id, ts, any_value(rendered ORDER BY conv_id) AS rendered FROM c GROUP BY ts),
 p AS (SELECT DISTINCT ts[1:k] AS ts FROM (SELECT ts, unnest(range(1, len(ts))) AS k FROM u))

@@ -519,6 +519,15 @@ def test_op9_collapses_snapshots(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_op9_equal_turns_and_roles_render_in_the_order_that_prefixes_have(spark):
+    texts = sorted("abcdefgh", key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    assert texts != sorted(texts)
+    rows = [(i, 0, "user", t) for i in range(1, 9) for t in random.Random(i).sample(texts[:i], i)]
+    rows += [(9, 0, "user", texts[1]), (None, 3, "user", "z"), (None, None, "user", None)]
+    got = {x.conv_id: (x.n_turns, re.findall(r"user\n(.*)<\|im_end", x.rendered)) for x in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {8: (8, texts), 9: (1, [texts[1]]), None: (2, ["", "z"])}
+
+
 # ---- op10
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -639,12 +648,18 @@ def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     extra = spark.createDataFrame([(10**6 + i, t, None, None, None) for i, t in enumerate(ODD)], DOCS)
     now = docs.select(*corpus_pipeline.COLUMNS).unionByName(extra)
-    for name, f in corpus_pipeline.STAGES[1:]:
-        out = f(spark, clashing(now).drop("score"), DATA).cache()
+    for name, f in corpus_pipeline.STAGES:
+        out = f(spark, clashing(now), DATA).cache()
         ids = {x.doc_id for x in out.select("doc_id").collect()}
         before = {x.doc_id: x.text for x in now.collect()}
         assert ids <= set(before)
-        if name == "line dedup":
+        assert name == "mixing" or out.columns == corpus_pipeline.COLUMNS
+        if name == "quality classifier":
+            labels = {x.doc_id: x for x in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+            good = [i for i, x in labels.items() if x.quality == 1 and i in before]
+            assert sum(i in ids for i in good) > 0.95 * len(good) and len(ids) < len(before)
+            assert {x.doc_id: x.text for x in out.collect()}.items() <= before.items()
+        elif name == "line dedup":
             assert ids == set(before)
         elif name == "simhash near-dedup":
             assert len({before[i] for i in ids}) == len(ids)
@@ -657,6 +672,42 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, DATA).where("text IS NULL").count() == 0
 
 
+def test_pipeline_stages_on_an_empty_table(spark):
+    import corpus_pipeline
+
+    for name, f in corpus_pipeline.STAGES:
+        out = f(spark, clashing(empty_docs(spark)), DATA)
+        assert out.count() == 0, name
+        assert set(corpus_pipeline.COLUMNS) <= set(out.columns)
+
+
+def test_near_duplicate_stage_finds_what_brute_force_finds(spark):
+    import corpus_pipeline
+
+    r = random.Random(11)
+    base = [sentence(r, r.randrange(40, 160)) for _ in range(25)]
+    texts = list(base)
+    for t in base[:15]:
+        for _ in range(3):
+            w = t.split(" ")
+            for _ in range(r.randrange(1, 3)):
+                w[r.randrange(len(w))] = r.choice(WORDS)
+            texts.append(" ".join(w))
+    texts += base[15:20]
+    r.shuffle(texts)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    sets = [{*zip(*(words(t)[j:] for j in range(5)), strict=False)} for t in texts]
+    group = list(range(len(texts)))
+    for _ in texts:
+        for a in range(len(texts)):
+            for b in range(a):
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    group[a] = group[b] = min(group[a], group[b])
+    assert 25 < len(set(group)) < len(texts)
+    kept = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, DATA).collect()
+    assert sorted(x.doc_id for x in kept) == sorted(set(group))
+
+
 def test_queries_are_named_and_explained():
     names = queries.queries()
     assert {n.split("_")[0] for n in names} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}

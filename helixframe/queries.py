@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as X
 from .functions import seq as S
-from .operators import cluster, kmers, links, maintain, reads, seeds, stats, visits
+from .operators import cluster, compaction, kmers, links, maintain, reads, seeds, stats, visits
 from .plans.staging import stage, staged_path
 from .sources import fastx, graphs
 from .streaming import counts as streams
@@ -483,7 +483,7 @@ def unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def document_unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.unitigs(stage(kmers.build_nodes(X.reads(spark, sf_dir), 15, 16), "document-nodes"), 15)
+    return compaction.unitigs(X.reads(spark, sf_dir), 15)
 
 
 @query()

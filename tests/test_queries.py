@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from helixframe import fixtures as X
 from helixframe import queries
-from helixframe.operators import cluster, walks
+from helixframe.operators import cluster, compaction, walks
 from tests import model, parity
 
 DATA = "/root/testdata/sf0.001"
@@ -141,3 +141,24 @@ def test_document_unitigs_equal_brute_force(spark, tmp_path):
     assert sorted((x.seq, x.n_nodes) for x in rows) == want
     assert sum(x.coverage for x in rows) == sum(max(0, len(s) - 14) for s in seqs)
     assert len(want) > 6 and 41 in {n for _, n in want}
+
+
+def test_document_unitigs_of_many_groups_and_rounds(spark, tmp_path, monkeypatch):
+    r = random.Random(9)
+    line = "".join(r.choice("ACGT") for _ in range(900))
+    rings = ["".join(r.choice("ACGT") for _ in range(n)) for n in (9, 150)]
+    seqs = [line, line[200:260] + "A" * 40 + line[400:500], model.rc(line[300:600]), line[:300] + line[500:520], "ACACACACACACACACACACAC", *(x * (2 + 30 // len(x)) for x in rings), "ACG", "", line]
+    reads = spark.createDataFrame([(x,) for x in [*seqs, None]], "seq string").repartition(3)
+    for k in (5, 9, 15):
+        rows = compaction.unitigs(reads, k, small=0, group=1).collect()
+        assert sorted((x.seq, x.n_nodes) for x in rows) == brute_unitigs(seqs, k)
+        assert sum(x.coverage for x in rows) == sum(max(0, len(s) - k + 1) for s in seqs)
+        assert sorted(rows) == sorted(compaction.unitigs(reads, k).collect())
+    assert compaction.unitigs(reads.where("seq = ''"), 15).collect() == []
+
+    def refuse(*_, **__):
+        raise AssertionError("components of single k-mers take rounds over the whole graph")
+
+    monkeypatch.setattr(cluster, "connected_components", refuse)
+    spark.createDataFrame([(1, "some text of the documents")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [x.length for x in queries.document_unitigs(spark, str(tmp_path)).collect()] == [22]

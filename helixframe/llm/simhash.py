@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, connected_components, stage
+from .common import arrow_rows, connected_components, drop, stage
 
 #: Fixed by the contract: bytes that separate words.
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -350,6 +350,21 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", shingles array<long>")
 
 
+#: Bits of the filter for candidates; a broadcast of a row for every 64 at most.
+FILTER = 1 << 25
+
+
+def likely(rows: DataFrame, wanted: DataFrame, bits: int = FILTER) -> DataFrame:
+    """Of rows(node, ...) those whose node is among wanted(node), and of the others at most a share of wanted / bits.
+
+    Hashes are looked up in broadcast words of 64 bits, so rows are never shuffled, however many are wanted.
+    """
+    h = F.pmod(F.xxhash64("node"), F.lit(bits))
+    word, bit = F.shiftright(h, 6), F.pmod(h, F.lit(64)).cast("int")
+    words = wanted.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    return rows.withColumn("word", word).join(F.broadcast(words), "word").where(F.bit_get("bits", bit) == 1).drop("word", "bits")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, chunk: int = 1024, radius: int = 28) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, group_id): group_id is the smallest doc_id reachable over exact links.
 
@@ -359,11 +374,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ch
     nodes = stage(found.groupBy("same").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.min("keys").alias("keys")).where("node IS NOT NULL"), "set-nodes")
     rows = stage(candidates(nodes.select("fp", "node", F.posexplode("keys").alias("t", "key")), radius, 4 * chunk).distinct(), "candidates")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")  # a repeated row meets itself only, which is no link
-    sets = stage(shingle_sets(texts.join(rows.select("node").distinct(), "node", "left_semi"), words), "shingle-sets")
+    sets = stage(shingle_sets(likely(texts, rows.select("node")), words), "shingle-sets")
     arrow_rows(docs.sparkSession, 256)
     first = stage(verified_edges(rows.where(F.col("t") < FIRST).withColumn("grp", F.col("node")), sets, similarity, radius, chunk), "first-links")
     groups = connected_components(first)
     late = rows.where(F.col("t") >= FIRST).join(groups, "node", "left").withColumn("grp", F.coalesce("component", "node")).drop("component")
     groups = connected_components(first.union(verified_edges(late, sets, similarity, radius, chunk)))
+    drop(rows, sets, first)
     named = nodes.join(groups, "node", "left").select(F.col("same").alias("of"), F.coalesce("component", "node").alias("group_id"))
     return found.join(named, F.col("same") == F.col("of"), "left").select("doc_id", "group_id")

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from helixframe.llm import chat, decontam, langid, lines, mixing, pii, quality, queries, rules, simhash, suffixes
+from helixframe.llm import chat, common, decontam, langid, lines, mixing, pii, quality, queries, rules, simhash, suffixes
 
 DATA = "/root/testdata/sf0.001"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -712,3 +712,31 @@ def test_queries_are_named_and_explained():
     names = queries.queries()
     assert {n.split("_")[0] for n in names} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_candidates_texts_are_found_without_a_shuffle(spark):
+    rows = spark.range(0, 20_000).select(F.col("id").alias("node"), F.lit("some text").alias("text"))
+    wanted = rows.where("node % 50 = 7").select("node")
+    for bits, most in ((1 << 25, 402), (1 << 12, 4_000)):
+        found = simhash.likely(rows, wanted, bits)
+        nodes = {x.node for x in found.collect()}
+        assert {x.node for x in wanted.collect()} <= nodes and len(nodes) < most and found.columns == ["node", "text"]
+        assert not re.search(r"hashpartitioning\(node", found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_near_duplicates_leave_no_shuffle_files_and_no_spent_tables(spark):
+    def there(label):
+        jvm, base = spark._jvm, common.shared_dir(spark)
+        found = jvm.org.apache.hadoop.fs.Path(f"{base}/staged/{spark.sparkContext.applicationId}/{label}-*")
+        return {str(x.getPath()) for x in found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(found)}
+
+    labels = ("candidates", "shingle-sets", "first-links")
+    before = [there(x) for x in labels]
+    texts = [" ".join(random.Random(i // 2).choices("abcdefgh", k=90)) + " end" * (i % 2) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.doc_id: x.group_id for x in simhash.near_duplicates(docs).collect()} == {i: i - i % 2 for i in range(40)}
+    assert [there(x) for x in labels] == before
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    held = tracker.shuffleStatuses().size()
+    common.stage(docs.repartition(3, "doc_id").groupBy(F.length("text").alias("n")).count(), "counts")
+    assert tracker.shuffleStatuses().size() <= held

@@ -5,7 +5,7 @@
 level 0, so a key is in one run only; ``fanout`` runs of a level are compacted into one of the next, so a
 key is rewritten only as often as there are levels.  Keys that a run holds already stay behind in the
 batch and are added to its counts in the end.  Runs are joined in place, bucket by bucket: what is
-shuffled is each batch, once, pre-aggregated, and never a run.
+shuffled is each batch, once, pre-aggregated, keys that come again once more, and runs only to be compacted.
 
 ``dedup_lines`` answers the corpus-wide question: keys of at least ``min_chars`` code points in at least
 ``min_docs`` documents lose their lines everywhere but in the largest doc_id.
@@ -83,13 +83,20 @@ class LineRuns:
         return self.spark.table(name)
 
     def add(self, keys: DataFrame) -> None:
-        """keys(h1, h2, doc_id), distinct within a document: those that are new become a run; full levels are compacted."""
-        batch = self._write(keys.groupBy(*self.KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc")))
+        """keys(h1, h2, doc_id), distinct within a document: those that are new become a run; full levels are compacted.
+
+        A batch is written once, its new keys told from the others by a column: a task that writes to a local
+        disk forks an executor several times for chmod, where Hadoop has no native library.
+        """
+        batch = keys.groupBy(*self.KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc"))
+        held = F.lit(False)
+        for i, run in enumerate(self._runs()):
+            batch = batch.join(run.select(*self.KEY, F.lit(True).alias(f"in_{i}")).hint("merge"), [*self.KEY], "left")
+            held = held | F.col(f"in_{i}").isNotNull()
+        batch = self._write(batch.select(*self.KEY, "n_docs", "max_doc", held.alias("held")))
         if any(self.levels):
-            run = self._write(self.unseen(batch))
-            self.again.append(batch.join(run.hint("merge"), [*self.KEY], "left_anti"))
-            batch = run
-        self._put(0, batch)
+            self.again.append(batch.where("held").drop("held"))
+        self._put(0, batch.where("NOT held").drop("held"))
 
     def _put(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
@@ -97,8 +104,13 @@ class LineRuns:
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            merged = self._union(full).groupBy(*self.KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
-            self._put(level + 1, self._write(merged))
+            self._put(level + 1, self._write(self._summed(full)))
+
+    def _runs(self) -> list[DataFrame]:
+        return [r for level in self.levels for r in level]
+
+    def _summed(self, runs: list[DataFrame]) -> DataFrame:
+        return self._union(runs).groupBy(*self.KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
 
     @staticmethod
     def _union(runs: list[DataFrame]) -> DataFrame:
@@ -109,21 +121,19 @@ class LineRuns:
 
     def counts(self) -> DataFrame:
         """(h1, h2, n_docs, max_doc) over all that was added."""
-        runs = [r for level in self.levels for r in level]
+        runs = self._runs()
         if not runs:
             return self.spark.createDataFrame([], "h1 long, h2 long, n_docs long, max_doc long")
         if not self.again:
             return self._union(runs)
-        more = self._union(self.again).groupBy(*self.KEY).agg(F.sum("n_docs").alias("more_docs"), F.max("max_doc").alias("more_max"))
-        more = self._write(more)
+        more = self._summed(self.again).withColumnsRenamed({"n_docs": "more_docs", "max_doc": "more_max"})
         both = [r.join(more.hint("merge"), [*self.KEY], "left") for r in runs]
         return self._union([x.select(*self.KEY, (F.col("n_docs") + F.coalesce("more_docs", F.lit(0))).alias("n_docs"), F.greatest("max_doc", "more_max").alias("max_doc")) for x in both])
 
     def unseen(self, keys: DataFrame) -> DataFrame:
         """Rows of keys(h1, h2, ...) in no run: a merge anti-join with each run in turn."""
-        for level in self.levels:
-            for r in level:
-                keys = keys.join(r.hint("merge"), [*self.KEY], "left_anti")
+        for r in self._runs():
+            keys = keys.join(r.hint("merge"), [*self.KEY], "left_anti")
         return keys
 
     def dedup_batch(self, batch: DataFrame, min_chars: int = 20) -> DataFrame:
@@ -178,7 +188,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     runs = LineRuns(docs.sparkSession)
     for i in range(batches):
         runs.add(keys.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i))
-    repeated = stage(runs.counts().where(F.col("n_docs") >= min_docs).select("h1", "h2", "n_docs", "max_doc"), "line-repeated")
+    counts = runs.counts().coalesce(runs.buckets)  # a task for each bucket, not for each bucket of each run
+    repeated = stage(counts.where(F.col("n_docs") >= min_docs).select("h1", "h2", "n_docs", "max_doc"), "line-repeated")
     least = max(min_docs, keys.count() // hot + 1)  # so many rows of one key: at most `hot` keys have them
     often = F.broadcast(repeated.where(F.col("n_docs") >= least))
     rare = repeated.where(F.col("n_docs") < least)

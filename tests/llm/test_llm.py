@@ -626,6 +626,17 @@ def test_op8_runs_hold_a_key_once_and_are_not_shuffled(spark):
     assert {(x.h1, x.h2): (x.n_docs, x.max_doc) for x in runs.counts().collect()} == want
 
 
+def test_op8_runs_write_a_batch_once(spark):
+    keys = spark.createDataFrame([(k, -k, d) for d in range(12) for k in range(d % 5, 9)] + [(7, -7, None)], "h1 long, h2 long, doc_id long")
+    runs = lines.LineRuns(spark, fanout=3)
+    for i in range(4):
+        runs.add(keys.where(F.coalesce("doc_id", F.lit(0)) % 4 == i))
+    got = {(x.h1, x.h2): (x.n_docs, x.max_doc) for x in runs.counts().collect()}
+    want = keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("m")).collect()
+    assert got == {(x.h1, x.h2): (x.n, x.m) for x in want}
+    assert runs._written == 4 + 1  # the batches and one compaction; the second table of a batch and that of the sums are gone
+
+
 def test_op10_digest_and_odd_input(spark):
     texts = [*ODD, "a@b.cd 1.2.3.4", "call +49 30 1234567 now"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
